@@ -101,9 +101,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE)
     """A dictionary from the serialized ids of a bounded sample; b"" where there is too little to learn from."""
     import zstandard
 
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h")).where("text <> ''").orderBy("h").limit(sample).collect()
-    if not rows:
+    hashed = docs.where("text <> ''").withColumn("h", F.xxhash64("doc_id", "text"))
+    smallest = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes only, so that no task sends texts that lose
+    if smallest is None:
         return b""
+    rows = hashed.where(F.col("h") <= smallest).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * sample).collect()
     encoder = WordEncoder(tokenizer_path)
     samples = [ids.astype(_dtype(encoder.size)).tobytes() for block in blocks(pa.array([r["text"] for r in rows], pa.string())) for ids in encoder(block)]
     try:
