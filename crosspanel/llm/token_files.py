@@ -192,12 +192,13 @@ class TokenFile:
         return self.ids(row)
 
 
-def read_token_files(spark: SparkSession, files: DataFrame, raw: bytes, vocabulary: int = 1 << 16) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of all documents, a task for each file."""
+def read_token_files(spark: SparkSession, files: DataFrame, raw: bytes, vocabulary: int = 1 << 16, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, unless only these are wanted, ids of all documents, a task for each file."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = sorted(files.collect(), key=lambda r: r["part"])
     starts = np.cumsum([0] + [r["n_tokens"] for r in rows]).tolist()
     if not rows:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+        return spark.createDataFrame([], schema)
     listed = spark.createDataFrame([(r["path"], s) for r, s in zip(rows, starts, strict=False)], "path string, start long").repartition(len(rows), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +208,18 @@ def read_token_files(spark: SparkSession, files: DataFrame, raw: bytes, vocabula
                 begin = start + np.cumsum(file.index["n_tokens"].astype(np.int64)) - file.index["n_tokens"]
                 for at in range(0, len(file.index), 500):
                     part = [file.ids(i).astype("<u4") for i in range(at, min(at + 500, len(file.index)))]
-                    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p in part]), pa.int32()), pa.array(np.concatenate(part).view(np.int32)))
+                    ids = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p in part]), pa.int32()), pa.array(np.concatenate(part).view(np.int32)))] if with_ids else []
                     doc_ids = file.index["doc_id"][at : at + 500].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(begin[at : at + 500]), pa.array([len(p) for p in part], pa.int64()), pa.array([zlib.crc32(p.tobytes()) for p in part], pa.int64()), ids],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                        [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(begin[at : at + 500]), pa.array([len(p) for p in part], pa.int64()), pa.array([zlib.crc32(p.tobytes()) for p in part], pa.int64()), *ids],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids],
                     )
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return listed.mapInArrow(read, schema)
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, with_ids: bool = True) -> DataFrame:
     """Write the files (in the shared folder unless another is named) and read them back."""
     spark = docs.sparkSession
     files, raw = write_token_files(docs, tokenizer_path, folder or new_path(spark, "token_files"))
-    return read_token_files(spark, files, raw)
+    return read_token_files(spark, files, raw, with_ids=with_ids)
