@@ -17,6 +17,7 @@ and comes first; rows with one doc_id are ordered by a hash of the text; an empt
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import uuid
@@ -87,6 +88,12 @@ class WordEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker, so that its (bounded) table of chunks serves many tasks."""
+    return WordEncoder(path)
+
+
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
@@ -132,7 +139,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw))
-        encoder, stream, index, at, first = WordEncoder(tokenizer_path), None, [], 0, None
+        encoder, stream, index, at, first = worker_encoder(tokenizer_path), None, [], 0, None
         kind = _dtype(encoder.size)
         for batch in batches:
             ids_of = batch.column(0).to_numpy()
