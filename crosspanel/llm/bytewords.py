@@ -65,6 +65,8 @@ class Words(NamedTuple):
 
 
 def mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit values."""
+    x = np.atleast_1d(x)
     x = x ^ (x >> U64(30))
     x = x * U64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> U64(27))
