@@ -4,21 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import decontamination
+from crosspanel.llm import decontamination, near_duplicates, quality_classifier, repeated_spans, sentencepieces
+from crosspanel.llm.store import written
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_classifier.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return near_duplicates.one_of_each(docs)
+
+
+def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes or more that occurred earlier are cut out."""
+    return repeated_spans.without_repeats(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", drop_contaminated)]
-#: The stages fit models and compress text, which SQL can't express.
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, decoded again as a proof."""
+    import public_tokenizers
+
+    return sentencepieces.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near duplicates", one_of_near_duplicates),
+    ("suffix-array dedup", without_repeated_spans),
+    ("benchmark decontamination", without_benchmark),
+    ("sentencepiece", pieces),
+]
+#: SQL can't express the fitted model or the piece ids; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from crosspanel.llm.store import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, near_duplicates, quality_classifier, quality_rules, repeated_spans, sentencepieces, sharding, token_files
+from . import decontamination, license_scan, near_duplicates, quality_classifier, quality_rules, repeated_spans, revisits, sentencepieces, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = revisits.resolve_revisits(revisits.records_of_pages(_table(spark, sf_dir, "pages")))
+    return resolved.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +59,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_quality_rules, op4_quality_classifier, op5_sharding, op7_repeated_spans, op8_token_files, op9_license_scan, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_quality_rules, op4_quality_classifier, op5_sharding, op6_revisits, op7_repeated_spans, op8_token_files, op9_license_scan, op10_decontamination)}
+ORACLES: dict[str, str] = {"op6_revisits": revisits.ORACLE}
