@@ -224,3 +224,11 @@ def safe_div(a: Column, b: Column, eps: float = 1e-12) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     return real(a / F.when(b != 0, b))
+
+
+def ts_skew(x: Column, w: int, least: int | None = None) -> Column:
+    """Skewness with the adjustment for small samples; null for constant windows and fewer than three values."""
+    over = frame(w)
+    n = F.count(x).over(over).cast("double")
+    enough = (n >= max(3, least or share(w, 0.7))) & (F.stddev_pop(x).over(over) > 1e-12)
+    return F.when(enough, real(F.skewness(x).over(over) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)))

@@ -10,7 +10,7 @@ import os
 import duckdb
 import pytest
 
-from crosspanel import queries
+from crosspanel import catalogue as queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
