@@ -7,6 +7,7 @@ frame (default: a share of the window that depends on the function). No result i
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, Window
@@ -183,9 +184,14 @@ def sumif(x: Column, w: int, condition: Column) -> Column:
 
 
 def ewm_sma(x: Column, n: int, m: int) -> Column:
-    """Recursive mean with weight m / n; the weight of what is known fades over null rows too."""
+    """Recursive mean with weight m / n; the weight of what is known fades over null rows too.
+
+    Read from so many rows that what is older would weigh less than 1e-12 even if half of the rows are
+    null; where all of them are null the last known value stands.
+    """
     alpha = m / n
-    seen = F.collect_list(F.struct(x.alias("x"))).over(whole().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = 2 * math.ceil(math.log(1e-12) / math.log(1 - alpha))
+    seen = F.collect_list(F.struct(x.alias("x"))).over(whole().rowsBetween(1 - rows, Window.currentRow))
     start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("old"))
 
     def step(state: Column, row: Column) -> Column:
@@ -193,7 +199,7 @@ def ewm_sma(x: Column, n: int, m: int) -> Column:
         value = F.when(row["x"].isNull(), state["y"]).when(state["y"].isNull(), row["x"]).otherwise((old * state["y"] + alpha * row["x"]) / (old + alpha))
         return F.struct(value.alias("y"), F.when(row["x"].isNull(), old).otherwise(F.lit(1.0)).alias("old"))
 
-    return F.aggregate(seen, start, step, lambda s: s["y"])
+    return F.coalesce(F.aggregate(seen, start, step, lambda s: s["y"]), carried(x))
 
 
 def forward_sum(x: Column, w: int) -> Column:

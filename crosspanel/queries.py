@@ -201,11 +201,11 @@ def decay_wma(spark, folder):
     return rounded(weekly_panel(spark, folder).select("code", "date", ts.decay_linear(c("close"), 5).alias("decay"), ts.wma(c("close"), 5).alias("wma")))
 
 
-@query(f""", l AS (SELECT code, date, list(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM P WHERE date < DATE '1997-01-01'),
+@query(f""", l AS (SELECT code, date, list(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM P),
 r AS (SELECT code, date, list_reduce(list_transform(l, lambda v: {{'y': v, 'old': 1.0}}), lambda s, v: CASE WHEN v.y IS NULL THEN {{'y': s.y, 'old': s.old * (1 - 2.0 / 7)}} WHEN s.y IS NULL THEN {{'y': v.y, 'old': 1.0}} ELSE {{'y': (s.old * (1 - 2.0 / 7) * s.y + 2.0 / 7 * v.y) / (s.old * (1 - 2.0 / 7) + 2.0 / 7), 'old': 1.0}} END).y AS y FROM l)
 SELECT code, date, round(y, 6) AS sma FROM r""")
 def ewm_sma(spark, folder):
-    return rounded(weekly_panel(spark, folder).where("date < date'1997-01-01'").select("code", "date", ts.ewm_sma(c("close"), 7, 2).alias("sma")))
+    return rounded(weekly_panel(spark, folder).select("code", "date", ts.ewm_sma(c("close"), 7, 2).alias("sma")))
 
 
 @query(""", q AS (SELECT code, date, close, quantile_cont(close, 0.05) OVER (PARTITION BY date) AS lo, quantile_cont(close, 0.95) OVER (PARTITION BY date) AS hi, (rank() OVER (PARTITION BY date, close IS NULL ORDER BY close) + (count(*) OVER (PARTITION BY date, close) - 1) / 2.0) / count(close) OVER (PARTITION BY date) AS r FROM P),
