@@ -47,9 +47,16 @@ def segment_as_of(panel: DataFrame, dated: DataFrame, columns: list[str]) -> Dat
 
 
 def interval_flag(panel: DataFrame, intervals: DataFrame, name: str) -> DataFrame:
-    """Whether a row's date lies in one of the code's intervals(code, start_date, end_date or null)."""
-    hit = panel.select("code", "date").join(intervals, "code").where("date >= start_date and (end_date is null or date <= end_date)").select("code", "date").distinct()
-    return panel.join(hit.withColumn(name, F.lit(True)), ["code", "date"], "left").fillna({name: False})
+    """Whether a row's date lies in one of the code's intervals(code, start_date, end_date or null).
+
+    A date lies in one if the latest end of those begun by then isn't before it, so both sides are put
+    together and that end is carried forward within a code; no row meets each interval of its code.
+    """
+    ends = F.max(F.coalesce("end_date", F.lit("9999-12-31").cast("date"))).alias("_end")
+    begun = intervals.where("code is not null and start_date is not null").groupBy("code", F.col("start_date").alias("date")).agg(ends)
+    both = panel.withColumn("_grid", F.lit(True)).unionByName(begun.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
+    over = Window.partitionBy("code").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.coalesce(F.max("_end").over(over) >= F.col("date"), F.lit(False))).where("_grid").drop("_grid", "_end")
 
 
 def events_on_grid(panel: DataFrame, events: DataFrame, how, name: str, roll: bool = False) -> DataFrame:

@@ -144,6 +144,15 @@ def interval_flag(spark, folder):
     return asof.interval_flag(weekly_panel(spark, folder).select("code", "date"), intervals, "flagged")
 
 
+@query()
+def interval_flag_all_lines(spark, folder):
+    """An interval from every line, of a week for each line number; the code's latest lines are still in force."""
+    lines = table(spark, folder, "lineitem").select(F.lpad(c("l_suppkey").cast("string"), 6, "0").alias("code"), c("l_shipdate").cast("date").alias("start_date"), c("l_linenumber").cast("int").alias("weeks"))
+    last = lines.groupBy("code").agg(F.max("start_date").alias("last"))
+    intervals = lines.join(last, "code").select("code", "start_date", F.when(c("start_date") < c("last"), F.date_add("start_date", 7 * c("weeks"))).alias("end_date"))
+    return asof.interval_flag(weekly_panel(spark, folder).select("code", "date"), intervals, "flagged")
+
+
 @query(""", x AS (SELECT P.*, industry, sector FROM P LEFT JOIN I ON I.code = P.code)
 SELECT code, date, round(CASE WHEN count(close) OVER (PARTITION BY date, sector) >= 2 THEN close - avg(close) OVER (PARTITION BY date, sector) ELSE close END, 6) AS demeaned,
  round(CASE WHEN count(close) OVER (PARTITION BY date, sector) >= 5 THEN (sum(close) OVER (PARTITION BY date, sector) - close) / (count(close) OVER (PARTITION BY date, sector) - 1) END, 6) AS others FROM x""")
