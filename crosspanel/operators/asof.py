@@ -64,5 +64,7 @@ def events_on_grid(panel: DataFrame, events: DataFrame, how, name: str, roll: bo
     two grid dates counts on the later one, else it is dropped."""
     if roll:
         dates = panel.select("date").distinct().withColumn("previous", F.lag("date").over(Window.orderBy("date")))  # one row for each date
-        events = events.withColumnRenamed("date", "event_date").join(F.broadcast(dates), (F.col("event_date") <= F.col("date")) & (F.col("previous").isNull() | (F.col("event_date") > F.col("previous")))).drop("event_date", "previous")
+        days = events.select(F.col("date").alias("event_date")).distinct()  # met with the grid once, not by each event
+        later = days.join(F.broadcast(dates), (F.col("event_date") <= F.col("date")) & (F.col("previous").isNull() | (F.col("event_date") > F.col("previous")))).drop("previous")
+        events = events.withColumnRenamed("date", "event_date").join(F.broadcast(later), "event_date").drop("event_date")
     return panel.join(events.groupBy("code", "date").agg(how.alias(name)), ["code", "date"], "left")

@@ -509,6 +509,19 @@ def event_grid(spark, folder):
     return asof.events_on_grid(counted, daily, F.round(F.sum("value"), 6), "v")
 
 
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS date, value FROM events), s AS (SELECT CAST(unnest(generate_series(min(date), max(date) + INTERVAL 2 DAY, INTERVAL 3 DAY)) AS DATE) AS date FROM e),
+g AS (SELECT u.user_id, s.date FROM (SELECT DISTINCT user_id FROM e) u CROSS JOIN s), d AS (SELECT user_id, s.date, count(*) AS n, sum(value) AS v FROM e JOIN s ON e.date <= s.date AND e.date > s.date - 3 GROUP BY 1, 2)
+SELECT CAST(g.user_id AS VARCHAR) AS code, g.date, n, round(v, 6) AS v FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.date = g.date""")
+def event_grid_rolled(spark, folder):
+    """Every event, on the grid date of its day or the next one; the grid spans the table's days."""
+    daily = table(spark, folder, "events").select(c("user_id").cast("string").alias("code"), c("ts").cast("date").alias("date"), "value")
+    span = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    dates = span.select(F.explode(F.expr("sequence(first, date_add(last, 2), interval 3 days)")).alias("date"))
+    grid = daily.select("code").distinct().crossJoin(F.broadcast(dates))
+    counted = asof.events_on_grid(grid, daily, F.count("*"), "n", roll=True)
+    return asof.events_on_grid(counted, daily, F.round(F.sum("value"), 6), "v", roll=True)
+
+
 @query(f""", s AS (SELECT code, date, close, last_value(close IGNORE NULLS) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS carried, last_value(close IGNORE NULLS) OVER (PARTITION BY code ORDER BY date) AS ffilled, sum(volume) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS ahead FROM P)
 SELECT code, date, round(carried, 6) AS carried, round(ffilled, 6) AS ffilled, ahead FROM s""")
 def carry_forward(spark, folder):

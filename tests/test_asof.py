@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from crosspanel import catalogue as queries
 from crosspanel.operators import asof
@@ -41,3 +42,26 @@ def test_interval_flag_takes_every_line(spark):
     for r in rows:
         last = max(s for s, _ in lines[r["code"]])
         assert r["flagged"] == any(s <= r["date"] and (s == last or r["date"] <= s + k * DAY) for s, k in lines[r["code"]]), r
+
+
+def test_events_roll_forward_or_are_dropped(spark):
+    first = datetime.date(2024, 2, 1)
+    grid = spark.createDataFrame([(code, first + k * DAY) for code in "ab" for k in (0, 3, 6)], "code string, date date")
+    events = spark.createDataFrame([("a", first + k * DAY) for k in (-1, 0, 1, 2, 3, 3, 6)] + [("b", first + 4 * DAY)], "code string, date date")
+    counts = lambda roll: {(r["code"], (r["date"] - first).days): r["n"] for r in asof.events_on_grid(grid, events, F.count("*"), "n", roll).collect()}
+    assert counts(True) == {("a", 0): 2, ("a", 3): 4, ("a", 6): 1, ("b", 0): None, ("b", 3): None, ("b", 6): 1}
+    assert counts(False) == {("a", 0): 1, ("a", 3): 2, ("a", 6): 1, ("b", 0): None, ("b", 3): None, ("b", 6): None}
+
+
+def test_event_grid_counts_every_event_once(spark):
+    rows = queries.QUERIES["event_grid_rolled"](spark, DATA).collect()
+    events = read("events", "user_id", "value")
+    assert sum(r["n"] or 0 for r in rows) == len(events)
+    assert abs(sum(r["v"] or 0 for r in rows) - sum(e["value"] for e in events)) < 1e-6 * len(events)
+
+
+def test_event_grid_spans_the_table(spark, tmp_path):
+    at = [datetime.datetime(2023, 12, 30, 5), datetime.datetime(2024, 1, 3, 23), datetime.datetime(2024, 2, 9, 1)]
+    spark.createDataFrame([(1, at[0], 1.0), (2, at[1], 2.0), (1, at[2], 4.0)], "user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = queries.QUERIES["event_grid_rolled"](spark, str(tmp_path)).where("n > 0").collect()
+    assert sorted((r["code"], str(r["date"]), r["n"], r["v"]) for r in rows) == [("1", "2023-12-30", 1, 1.0), ("1", "2024-02-10", 1, 4.0), ("2", "2024-01-05", 1, 2.0)]
