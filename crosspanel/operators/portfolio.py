@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,32 +88,62 @@ def capped_weights(weights: DataFrame, cap: float, rounds: int = 8) -> DataFrame
 def constrained_track(periods: DataFrame, n: int, limit: float = 1.0) -> DataFrame:
     """Holdings of each track period by period: what can't be sold stays, at most a share `limit` is exchanged.
 
-    periods(track, date, code, score, can_buy, can_sell, ret): a track's rows fit one task (it is a
-    strategy's universe, as many rows as codes times periods); the state is a set of codes.
+    periods(track, date, code, score, can_buy, can_sell, ret). Only a code that was once among the n best
+    that can be bought is ever held, so other rows end before the walk (but for one of each date).
+    A track's rows pass one task in the order of dates, of which it holds one at a time; the state is a set of at most n codes.
     """
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        held: set[str] = set()
-        rows = []
-        for date, day in group.sort_values(["date", "score", "code"], ascending=[True, False, True]).groupby("date", sort=True):
-            scored = day[day["score"].notna()]
-            target = scored[scored["can_buy"] | scored["code"].isin(held)]["code"].head(n).tolist()
-            if target:
-                can_sell = set(day.loc[day["can_sell"], "code"])
-                leaving = [c for c in reversed(scored["code"].tolist()) if c in held and c not in target and c in can_sell]
-                if held:
-                    leaving = leaving[: int(np.floor(limit * n))]
-                kept = held - set(leaving)
-                room = max(0, n - len(kept))
-                new = [c for c in target if c not in kept][:room]
-                held = kept | set(new)
-            else:
-                leaving, new = [], []
-            known = day[day["code"].isin(held)]["ret"]
-            rows.append((group["track"].iloc[0], date, len(held), len(new), len(leaving), float(known.mean()) if known.notna().any() else 0.0))
-        return pd.DataFrame(rows, columns=["track", "date", "held", "bought", "sold", "ret"])
-
-    return periods.select("track", "date", "code", "score", "can_buy", "can_sell", "ret").groupBy("track").applyInPandas(walk, "track string, date date, held long, bought long, sold long, ret double")
+    known = periods.where("date is not null").select("track", "date", "code", F.nanvl("score", F.lit(None)).alias("score"), "can_buy", "can_sell", F.nanvl("ret", F.lit(None)).alias("ret"))
+    best = Window.partitionBy("track", "date").orderBy(F.desc("_open"), F.desc_nulls_last("score"), "code")
+    placed = known.withColumn("_open", F.col("can_buy") & F.col("score").isNotNull()).withColumn("_place", F.row_number().over(best))
+    so_far = Window.partitionBy("track", "code").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = placed.withColumn("_met", F.max(F.col("_open") & (F.col("_place") <= n)).over(so_far)).where("_met or _place = 1").drop("_open", "_place", "_met")
+
+    def step(day: pd.DataFrame, held: set[str]) -> tuple[set[str], tuple]:
+        scored = day[day["score"].notna()]
+        target = scored[scored["can_buy"] | scored["code"].isin(held)]["code"].head(n).tolist()
+        if target:
+            can_sell = set(day.loc[day["can_sell"], "code"])
+            leaving = [c for c in reversed(scored["code"].tolist()) if c in held and c not in target and c in can_sell]
+            if held:
+                leaving = leaving[: int(np.floor(limit * n))]
+            kept = held - set(leaving)
+            room = max(0, n - len(kept))
+            new = [c for c in target if c not in kept][:room]
+            held = kept | set(new)
+        else:
+            leaving, new = [], []
+        known = day[day["code"].isin(held)]["ret"]
+        return held, (day["track"].iloc[0], day["date"].iloc[0], len(held), len(new), len(leaving), float(known.mean()) if known.notna().any() else 0.0)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, held = None, set()
+        for day in _days(batches):
+            if day["track"].iloc[0] != track:
+                track, held = day["track"].iloc[0], set()
+            held, row = step(day, held)
+            yield pa.RecordBatch.from_pylist([dict(zip(_TRACK.names, row, strict=True))], schema=_TRACK)
+
+    return met.repartition("track").sortWithinPartitions("track", "date", F.desc_nulls_last("score"), "code").mapInArrow(walk, "track string, date date, held long, bought long, sold long, ret double")
+
+
+_TRACK = pa.schema([("track", pa.string()), ("date", pa.date32()), ("held", pa.int64()), ("bought", pa.int64()), ("sold", pa.int64()), ("ret", pa.float64())])
+
+
+def _days(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of each track and date, of batches sorted by them."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(batch.column("track").to_pylist(), batch.column("date").to_pylist(), strict=True))
+        edges = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        for a, b in zip([0, *edges], [*edges, len(keys)] if keys else [], strict=False):
+            if held and keys[a] != last:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.slice(a, b - a).to_pandas())
+            last = keys[a]
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
 
 
 def cost_of(turnover_column: Column, **rates: float) -> Column:
