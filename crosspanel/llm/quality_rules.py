@@ -1,6 +1,8 @@
 """Quality rules by compression bands.
 
-Each whole text, and each fixed chunk of it, is compressed with zstandard. The ratio of
+Each whole text, and each fixed chunk of it, is compressed with zstandard. Where the chunks leave
+a tail, the text's last CHUNK bytes are one more chunk, so that every byte is judged; a text
+shorter than a chunk is its only one, under the limits for its length. The ratio of
 compressed to plain bytes falls far below that of prose where a text repeats itself and rises
 towards one where it is random; the limits differ by length, as short texts compress less.
 
@@ -63,7 +65,8 @@ def _ratios(block: Block, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         if a == b:
             continue
         whole[i] = len(press.compress(view[a:b])) / (b - a)
-        for at in range(a, b - CHUNK + 1, CHUNK):
+        at_end = [b - CHUNK] if b - a > CHUNK and (b - a) % CHUNK else []
+        for at in [*range(a, b - CHUNK + 1, CHUNK), *at_end]:
             share = len(press.compress(view[at : at + CHUNK])) / CHUNK
             chunks[i] += 1
             bad[i] += not CHUNK_BAND[0] <= share <= CHUNK_BAND[1]
@@ -81,9 +84,13 @@ def quality_rules(docs: DataFrame, level: int = LEVEL, bands=DOCUMENT_BANDS) ->
                 base = _counts(block)
                 ratio, chunks, bad = _ratios(block, level)
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-                band = np.searchsorted(limits, np.diff(block.offsets), "right")
+                size = np.diff(block.offsets)
+                band = np.searchsorted(limits, size, "right")
                 with np.errstate(invalid="ignore"):
-                    good = (ratio >= least[band]) & (ratio <= most[band]) & (bad <= CHUNK_SHARE * chunks)
+                    within = (ratio >= least[band]) & (ratio <= most[band])
+                short = (size > 0) & (size < CHUNK)
+                chunks[short], bad[short] = 1, ~within[short]
+                good = within & (bad <= CHUNK_SHARE * chunks)
                 ids = pc.cast(batch.column(0).slice(block.first, block.rows), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [ids, *map(pa.array, base.values()), pa.array(failed), pa.array(~failed & good), pa.array(ratio, mask=np.isnan(ratio)), pa.array(chunks), pa.array(bad)],

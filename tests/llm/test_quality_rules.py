@@ -49,3 +49,17 @@ def test_empty_table_and_odd_rows(spark):
     assert quality_rules(documents(spark, [])).count() == 0
     got = quality_rules(documents(spark, [(None, "a b"), (5, None), (5, None)])).collect()
     assert sorted((r["doc_id"] is None, r["n_words"], r["ratio"] is None, r["kept"]) for r in got) == [(False, 0, True, False), (False, 0, True, False), (True, 2, False, False)]
+
+
+def test_the_last_piece_counts(spark):
+    import base64
+    import random
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = " ".join(rng.choice(vocab) for _ in range(6000))
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n]
+    rows = [prose[:4096] + noise(8191), prose[:8192] + noise(4095), prose[:4096], prose[:4097], prose[:12287], prose[:4095], "", noise(4095)]
+    got = {r["doc_id"]: (r["n_chunks"], r["n_bad_chunks"]) for r in quality_rules(documents(spark, rows)).collect()}
+    assert got == {0: (3, 2), 1: (3, 1), 2: (1, 0), 3: (2, 0), 4: (3, 0), 5: (1, 0), 6: (0, 0), 7: (1, 0)}
+    assert {r["doc_id"]: r["kept"] for r in quality_rules(documents(spark, rows[:2])).collect()} == {0: False, 1: True}
