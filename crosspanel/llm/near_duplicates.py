@@ -24,7 +24,7 @@
    verified links are again a spanning forest, and their components are the classes.
 
 Defined cases: null, empty and wordless texts are in classes of their own; repeated rows are
-copies; a null doc_id is a document like any other (a class of such documents only has class_id
+copies; a doc_id that comes again with another text is another document; a null doc_id is a document like any other (a class of such documents only has class_id
 null); an empty table gives an empty result; other columns play no part.
 """
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, LOWER, U64, Block, blocks, mix, window_hashes, words
@@ -370,6 +370,11 @@ def _verified(idf_shared, similar: float):
     return run
 
 
+def _row() -> Column:
+    """Tells rows apart: by doc_id (if there is one) and by text, as a doc_id may come again with another text."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), F.xxhash64("text").alias("copy"))
+
+
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size, node_size (texts with the same words) and kept for each row of docs(doc_id, text)."""
     classes = _classes(docs, similar)
@@ -379,16 +384,15 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
 def _classes(docs: DataFrame, similar: float) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Rows without a doc_id are told apart by their text.
-    row = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    row = _row()
     idf = spark.sparkContext.broadcast(frequent_shingles(docs))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(3)):
                 sh, kinds = signatures(block, idf.value)
                 nothing = sh.n_words == 0
-                ids, rows = (batch.column(i).slice(block.first, block.rows) for i in (0, 1))
+                marks = [batch.column(i).slice(block.first, block.rows) for i in range(3)]
                 where = [np.flatnonzero(nothing), *(k[0] for k in kinds)]
                 for kind, at in enumerate(where):
                     index = pa.array(at)
@@ -397,11 +401,12 @@ def _classes(docs: DataFrame, similar: float) -> DataFrame:
                     keys = kinds[kind - 1][1] if kind else np.zeros((len(at), 0), np.int64)
                     cut = np.ascontiguousarray(kinds[kind - 1][2]).view(np.int64) if kind else np.zeros((len(at), 8), np.int64)
                     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([ids.take(index), rows.take(index), pa.array(sh.node[at]), pa.array(extra), pa.array(nothing[at]), listed, *(pa.array(cut[:, i].copy()) for i in range(8))], names=names)
+                    yield pa.RecordBatch.from_arrays([*(m.take(index) for m in marks), pa.array(sh.node[at]), pa.array(extra), pa.array(nothing[at]), listed, *(pa.array(cut[:, i].copy()) for i in range(8))], names=names)
 
     samples = [f"s{i}" for i in range(8)]
-    names = ["doc_id", "row", "node", "extra", "wordless", "keys", *samples]
-    signed = written(docs.select("doc_id", row.alias("row"), "text").mapInArrow(sign, "doc_id long, row long, node long, extra boolean, wordless boolean, keys array<long>, " + ", ".join(f"{s} long" for s in samples)), "signatures")
+    names = ["doc_id", "id", "copy", "node", "extra", "wordless", "keys", *samples]
+    signs = docs.select("doc_id", row.alias("row"), "text").select("doc_id", "row.id", "row.copy", "text").mapInArrow(sign, "doc_id long, id long, copy long, node long, extra boolean, wordless boolean, keys array<long>, " + ", ".join(f"{s} long" for s in samples))
+    signed = written(signs.select("doc_id", F.struct("id", "copy").alias("row"), *names[3:]), "signatures")
 
     # One row for each node and kind, then its bands; buckets of one node end here.
     nodes = signed.where("not wordless").groupBy("node", "extra").agg(F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in samples])
@@ -430,6 +435,6 @@ def _classes(docs: DataFrame, similar: float) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each class, all its columns kept."""
-    row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    row = _row()
     kept = _classes(docs, similar).where("kept").select(F.col("row").alias("_row")).distinct()
     return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -128,3 +128,14 @@ def test_components(spark):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent}
+
+
+def test_a_doc_id_with_several_texts_is_several_documents(spark):
+    rng = random.Random(8)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4)]
+    near = [edited(rng, t, 0.01) for t in prose[:2]]
+    rows = [(1, prose[0]), (1, prose[1]), (1, prose[2]), (2, near[0]), (3, near[1]), (4, prose[3]), (4, ""), (4, None)]
+    got = nd.near_duplicate_classes(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in got) == [(1, 1, 1, True), (1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False), (3, 1, 2, False), (4, 4, 1, True), (4, 4, 1, True), (4, 4, 1, True)]
+    kept = {(r["doc_id"], r["text"]) for r in nd.one_of_each(documents(spark, rows)).collect()}
+    assert kept == {(1, prose[0]), (1, prose[1]), (1, prose[2]), (4, prose[3]), (4, ""), (4, None)}
