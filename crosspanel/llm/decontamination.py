@@ -12,7 +12,8 @@ each piece is matched against all texts in one pass.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no
 windows; items with equal texts are each reported; rows that repeat (same doc_id) each get
-their own row, keyed by the row and not by doc_id; null item_ids are left out of the list.
+their own row, keyed by the row and not by doc_id; items with a null item_id hit like any other but
+are left out of the list.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _alnum(block: Block) -> Words:
 
 def _pieces(items: DataFrame, piece_bytes: int) -> list[DataFrame]:
     """The items in pieces of bounded size, read one piece's range of rows at a time."""
-    sized = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
+    sized = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") > 0)
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = int(-(-total // piece_bytes))
     return [sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) for k in range(count)]
@@ -52,7 +53,9 @@ class _Windows:
     """The distinct windows of one piece, sorted by the hash of their rarest word."""
 
     def __init__(self, items: pd.DataFrame, size: int):
-        self.names, codes = np.unique(items["item"].to_numpy(str), return_inverse=True)
+        named = items["item"].notna().to_numpy()
+        codes = np.full(len(items), -1)  # of an item without a name
+        self.names, codes[named] = np.unique(items["item"][named].to_numpy(str), return_inverse=True)
         column = pa.array(items["text"], pa.string())
         self.spelled: dict[tuple, list[int]] = {}  # words of the window: items that have it
         hashes: dict[bytes, int] = {}
@@ -67,7 +70,7 @@ class _Windows:
                 for at in range(begin[i], begin[i + 1] - min(n, size) + (n > 0)):
                     self.spelled.setdefault(tuple(spelled[at : at + min(n, size)]), []).append(int(codes[block.first + i]))
         self.windows = sorted(self.spelled)
-        self.items = [np.unique(self.spelled[w]) for w in self.windows]
+        self.items = [np.unique([i for i in self.spelled[w] if i >= 0]).astype(np.int64) for w in self.windows]
         del self.spelled
         self.words = {w: hashes[w] for w in {x for window in self.windows for x in window}}
 

@@ -69,3 +69,16 @@ def test_empty_tables(spark):
     assert benchmark_hits(documents(spark, []), frame).count() == 0
     compare(rows, [], benchmark_hits(documents(spark, rows), frame.where("false")))
     assert clean_documents(documents(spark, rows), frame.where("false")).count() == len(rows)
+
+
+def test_items_without_an_id_hit(spark):
+    rows, items, _ = case(spark)
+    long = [t for t in rows if t and len(t.split()) > 40]
+    items = [*items, (None, " ".join(long[3].split()[2:20])), (None, " ".join(long[0].split()[3:30])), (None, "")]
+    for some in (items, items[-3:]):
+        frame = spark.createDataFrame(some, "item_id long, text string")
+        for size in (150, 1 << 20):
+            compare(rows, some, benchmark_hits(documents(spark, rows), frame, piece_bytes=size))
+            want = {i for i, t in enumerate(rows) if not brute(t, some)[-1]}
+            assert {r["doc_id"] for r in clean_documents(documents(spark, rows), frame, piece_bytes=size).collect()} == want
+    assert any(brute(t, items[-3:])[-1] for t in rows)
