@@ -2,13 +2,21 @@
 
 Each whole text, and each fixed chunk of it, is compressed with zstandard. Where the chunks leave
 a tail, the text's last CHUNK bytes are one more chunk, so that every byte is judged; a text
-shorter than a chunk is its only one, under the limits for its length. The ratio of
-compressed to plain bytes falls far below that of prose where a text repeats itself and rises
-towards one where it is random; the limits differ by length, as short texts compress less.
+shorter than a chunk is its only one. The ratio of compressed to plain bytes falls below that of
+prose where a text repeats itself and rises towards one where it is random. Short texts compress
+less, so the limits are curves over the length: straight lines in log2(bytes) between the knots
+of BAND. A chunk, being one sample of a text, has the limits of its length widened by CHUNK_MARGIN.
+A text is rejected if its own ratio is outside, or more than CHUNK_SHARE of its chunks are.
+
+The knots lie outside the ratios of prose (at level 3: 0.54 to 0.72 for 384 bytes, 0.46 to 0.58 for
+1.5 kB, 0.43 to 0.47 for 6 kB, 0.40 to 0.45 for 16 kB, 0.36 for a legal text of 35 kB); lists of one
+pattern and texts with marks strewn in fall below, letters or base64 without sense rise above.
 
 Defined cases: a null text counts as empty; an empty text fails the base rule (no words), has
-ratio null and is not kept; repeated rows each get their own equal row; other columns of the
-input, whatever their names, play no part.
+ratio null, no chunks and is not kept; a text of any length is compressed whole (one of over 2 MB is a block
+of its own); a text of exactly CHUNK bytes is one chunk; repeated rows, and rows with equal doc_ids, each
+get their own row; an empty table gives an empty result; other columns of the input, whatever
+their names, play no part.
 """
 
 from __future__ import annotations
@@ -23,10 +31,9 @@ from pyspark.sql import functions as F
 
 from .bytewords import SPACED, Block, blocks, lines, window_hashes, with_doc, words
 
-#: (shorter than so many bytes, least ratio, largest ratio) of whole documents.
-DOCUMENT_BANDS = ((256, 0.35, 2.00), (1024, 0.36, 0.90), (4096, 0.33, 0.80), (32768, 0.28, 0.75), (float("inf"), 0.25, 0.72))
-#: The same for a chunk of CHUNK bytes; a document fails if more than CHUNK_SHARE of its chunks do.
-CHUNK, CHUNK_BAND, CHUNK_SHARE, LEVEL = 4096, (0.28, 0.75), 0.5, 3
+#: (bytes, least ratio, largest ratio): the limits' knots.
+BAND = ((128, 0.45, 1.20), (384, 0.50, 0.78), (768, 0.45, 0.72), (1536, 0.43, 0.65), (3072, 0.415, 0.60), (6144, 0.395, 0.565), (16384, 0.355, 0.54), (65536, 0.31, 0.52), (1 << 20, 0.26, 0.50))
+CHUNK, CHUNK_MARGIN, CHUNK_SHARE, LEVEL = 4096, 0.015, 0.2, 3
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long"
 
@@ -54,11 +61,19 @@ def _counts(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
-def _ratios(block: Block, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def limits(size: np.ndarray, band=BAND) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest ratio of a text of so many bytes; constant beyond the first and last knots."""
+    knots = np.log2([k[0] for k in band])
+    at = np.log2(np.maximum(size, 1))
+    return np.interp(at, knots, [k[1] for k in band]), np.interp(at, knots, [k[2] for k in band])
+
+
+def _ratios(block: Block, level: int, band) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
     whole, chunks, bad = np.full(block.rows, np.nan), np.zeros(block.rows, np.int64), np.zeros(block.rows, np.int64)
+    low, high = (float(x[0]) for x in limits(np.array([CHUNK]), band))
     view = memoryview(np.ascontiguousarray(block.data))
     for i in range(block.rows):
         a, b = int(block.offsets[i]), int(block.offsets[i + 1])
@@ -69,28 +84,26 @@ def _ratios(block: Block, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         for at in [*range(a, b - CHUNK + 1, CHUNK), *at_end]:
             share = len(press.compress(view[at : at + CHUNK])) / CHUNK
             chunks[i] += 1
-            bad[i] += not CHUNK_BAND[0] <= share <= CHUNK_BAND[1]
+            bad[i] += not low - CHUNK_MARGIN <= share <= high + CHUNK_MARGIN
     return whole, chunks, bad
 
 
-def quality_rules(docs: DataFrame, level: int = LEVEL, bands=DOCUMENT_BANDS) -> DataFrame:
+def quality_rules(docs: DataFrame, level: int = LEVEL, band=BAND, chunk_share: float = CHUNK_SHARE) -> DataFrame:
     """One row per row of docs(doc_id, text): the base counts, the compression figures and the verdict."""
-    limits = np.array([b[0] for b in bands])
-    least, most = np.array([b[1] for b in bands]), np.array([b[2] for b in bands])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 base = _counts(block)
-                ratio, chunks, bad = _ratios(block, level)
+                ratio, chunks, bad = _ratios(block, level, band)
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
                 size = np.diff(block.offsets)
-                band = np.searchsorted(limits, size, "right")
+                least, most = limits(size, band)
                 with np.errstate(invalid="ignore"):
-                    within = (ratio >= least[band]) & (ratio <= most[band])
+                    within = (ratio >= least) & (ratio <= most)
                 short = (size > 0) & (size < CHUNK)
                 chunks[short], bad[short] = 1, ~within[short]
-                good = within & (bad <= CHUNK_SHARE * chunks)
+                good = within & (bad <= chunk_share * chunks)
                 ids = pc.cast(batch.column(0).slice(block.first, block.rows), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [ids, *map(pa.array, base.values()), pa.array(failed), pa.array(~failed & good), pa.array(ratio, mask=np.isnan(ratio)), pa.array(chunks), pa.array(bad)],
