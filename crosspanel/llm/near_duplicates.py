@@ -1,31 +1,36 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Shingles of five words (ASCII letters, digits and all beyond ASCII, A-Z folded; a text of fewer
-   words has one shingle). A shingle's weight is 1 + ln(its count in the text) times an idf that falls
-   from 1, for shingles in less than one in 64 texts, to 0.9 for one in all texts. The texts
-   counted are all rows. Only shingles in at least one in 64 texts need an entry, and there are
-   at most 64 times the mean number of shingles of a text; they are found exactly: a shingle as
-   frequent as that has at least half that share in some group of rows of a task, so first the
-   sums of such local counts and then exact counts of the few candidates decide.
-   The idf is damped to this range so that pairs whose shingles agree to 0.82 or more by plain
-   count also reach 0.8 by weight, inside copy groups of any size.
+   words has one shingle). A shingle's weight is (1 + ln of its count in the text) * idf, where
+   idf = ln(N / df) / ln(HEAVY_SHARE), held between IDF_LOW and 1: shingles in at most one of 256 of the N
+   texts count in full, those in one of 16 or more count half. (Without the lower bound, one edited
+   word in a text that a third of all rows copy would outweigh everything the copies share.) df is counted
+   over all rows. Only shingles in more than one of 256 texts need an entry, and there are at most 256 times the mean number of
+   shingles of a text; they are found exactly: a shingle as frequent as that has at least half
+   that share in some group of rows of a task, so first the sums of such local counts and then
+   exact counts of the few candidates decide.
 2. Consistent weighted samples, 64 of each text: for each shingle with weight w,
    t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp(r)), the least a wins and (shingle, t)
    is the sample. A text with few shingles draws all samples from all its shingles; one with
    many deals its shingles to 64 bins by their hash and draws one from each (an empty bin borrows
    from another by a fixed probing order). In an overlap of sizes both kinds are drawn, so that
    no pair of similar texts is told apart by its kind.
-3. Sixteen bands of four samples. Texts with the same words are one node. Nodes in one band
-   bucket are compared by their samples in blocks of bounded size; a bucket of more members
-   becomes several blocks, so that every two members still meet. Each block reports a spanning
-   forest of the pairs that agree in at least ESTIMATE of their samples, never all pairs.
-4. Within the components of that graph every pair that a sketch doesn't rule out and that isn't
-   connected yet is verified: weighted Jaccard similarity (or the plain one) of at least 0.8. The
-   verified links are again a spanning forest, and their components are the classes.
+3. Sixteen bands of four samples. Texts with the same words are one node. Each node of a band bucket
+   is compared with the bucket's least node, first by their samples, then by the texts: a star, with
+   as many pairs as members. The links found join most of what belongs together, groups of any
+   size included.
+4. What a star leaves open are pairs of a bucket whose nodes are not in one component yet. Of such a
+   bucket the largest component is one side and all other nodes are compared among themselves and
+   with that side, in blocks of bounded size, by their samples; the components of the pairs that agree
+   in ESTIMATE of their samples are compared in the same way by their texts. A block's links are a spanning forest, never all pairs.
+5. Weighted Jaccard similarity of the texts, 0.8 or more, alone makes a link. Classes are the
+   components of the links.
 
 Defined cases: null, empty and wordless texts are in classes of their own; repeated rows are
-copies; a doc_id that comes again with another text is another document; a null doc_id is a document like any other (a class of such documents only has class_id
-null); an empty table gives an empty result; other columns play no part.
+copies; a doc_id that comes again with another text is another document; of ties the row with the least (doc_id,
+hash of text) is kept; a null doc_id is a document like any other (a class of such documents only has class_id
+null); a text of any length is one node, its shingles sorted in memory (40 bytes a word); an empty table
+gives an empty result; other columns, whatever their names, play no part and are kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -39,13 +44,13 @@ from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, LOWER, U64, Block, blocks, mix, window_hashes, words
 from .components import connected_components
-from .store import written
+from .store import fresh, written
 
-SHINGLE, SIMILAR, SAMPLES, BANDS, HEAVY_SHARE, IDF_LOW = 5, 0.8, 64, 16, 64, 0.9
+SHINGLE, SIMILAR, SAMPLES, BANDS, HEAVY_SHARE, IDF_LOW = 5, 0.8, 64, 16, 256, 0.5
 #: Up to a weight of MANY a text draws from all its shingles; from FEW on it deals to bins. FEW < 0.8 * MANY.
 MANY, FEW = 192, 150
 ESTIMATE, BUCKET_BLOCK, TEXT_BLOCK = 0.6, 512, 256
-GROUP = 512  # rows over which a task counts before it looks for frequent shingles
+GROUP = 2048  # rows over which a task counts before it looks for frequent shingles
 
 
 def _mod(x: np.ndarray, n: int) -> np.ndarray:
@@ -93,7 +98,7 @@ class Idf:
     def __init__(self, keys: np.ndarray, df: np.ndarray, total: int):
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.values = IDF_LOW + (1 - IDF_LOW) * np.clip(np.log2(np.maximum(total, 1) / df[order]) / np.log2(HEAVY_SHARE), 0, 1)
+        self.values = np.clip(np.log(np.maximum(total, 1) / df[order]) / np.log(HEAVY_SHARE), IDF_LOW, 1)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes))
@@ -250,13 +255,22 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _blocked(members: DataFrame, group: str, size: int) -> DataFrame:
-    """Each row once for each block its chunk takes part in: chunks of about `size` rows, a block
-    for every two chunks of a group. members has n, the number of rows of the group."""
-    chunks = F.ceil(F.col("n") / size).cast("int")
-    chunk = F.pmod(F.xxhash64("node", group), chunks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = members.withColumn("chunks", chunks).withColumn("chunk", chunk).withColumn("other", other)
-    return dealt.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("chunks", "other", "n")
+    """members(group, node, comp, ...), each row once for each block it takes part in; lo, hi and chunk are added.
+
+    Of each group the largest component is one side, dealt to chunks of about `size` rows, and all
+    other nodes are the other side. There is a block for every two chunks of the other side and for each of its chunks with one of the
+    largest component; so every two nodes of different components meet, and a group that is one component has no block.
+    """
+    sides = members.groupBy(group, "comp").agg(F.count("*").alias("n")).groupBy(group).agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
+    chunks = lambda n: F.ceil(n / size).cast("int")
+    others = F.col("n") - F.col("most.n")
+    sides = written(sides.where(others > 0).select(group, F.col("most.comp").alias("largest"), chunks(others).alias("c_other"), chunks(F.col("most.n")).alias("c_largest")), "sides")
+    spread = F.xxhash64("node", group)
+    is_large = F.col("comp") == F.col("largest")
+    chunk = F.when(is_large, F.col("c_other") + F.pmod(spread, F.col("c_largest"))).otherwise(F.pmod(spread, F.col("c_other"))).cast("int")
+    with_blocks = F.col("c_other") + F.when(is_large, 0).otherwise(F.col("c_largest"))
+    dealt = members.join(sides, group).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), with_blocks - 1)))
+    return dealt.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "largest", "c_other", "c_largest")
 
 
 class _Forest:
@@ -282,94 +296,104 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the pairs of a bucket's block that agree in enough samples."""
+    """Spanning forests of the pairs of a bucket's block, of different components, that agree in enough samples."""
     out: list[tuple[int, int]] = []
     for table in _runs(batches, 3):
-        nodes = table.column("node").to_numpy()
+        nodes, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
         samples = np.stack([table.column(f"s{i}").to_numpy() for i in range(8)], axis=1).view(np.uint8)
         chunk, n = table.column("chunk").to_numpy(), len(nodes)
         across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
-        if n == 2:
-            if (samples[0] == samples[1]).sum() >= ESTIMATE * SAMPLES and nodes[0] != nodes[1]:
-                out.append((int(nodes[0]), int(nodes[1])))
-        else:
-            left = set(range(n))
-            while left:
-                todo = [left.pop()]
-                while todo and left:
-                    i = todo.pop()
-                    rest = np.fromiter(left, np.int64, len(left))
-                    near = (samples[rest] == samples[i]).sum(axis=1) >= ESTIMATE * SAMPLES
-                    if across:
-                        near &= chunk[rest] != chunk[i]
-                    for j in rest[near].tolist():
-                        out.append((int(nodes[i]), int(nodes[j])))
-                        todo.append(j)
-                        left.discard(j)
+        left = np.ones(n, bool)
+        while left.any():
+            todo = [int(np.argmax(left))]
+            left[todo[0]] = False
+            while todo and left.any():
+                i = todo.pop()
+                rest = np.flatnonzero(left)
+                near = ((samples[rest] == samples[i]).sum(axis=1) >= ESTIMATE * SAMPLES) & (comp[rest] != comp[i])
+                if across:
+                    near &= chunk[rest] != chunk[i]
+                found = rest[near]
+                out += [(int(nodes[i]), int(nodes[j])) for j in found]
+                todo += found.tolist()
+                left[found] = False
         if len(out) > 10_000:
             yield _edge_batch(out)
             out = []
     yield _edge_batch(out)
 
 
-def _sketch(hashes: np.ndarray, bins: int = 128) -> np.ndarray:
-    """Least hash in each bin (hashes ascending); 0 where there is none."""
-    out = np.zeros(bins, U64)
-    where = _mod(mix(hashes), bins)
-    first = np.unique(where, return_index=True)
-    out[first[0]] = hashes[first[1]]
-    return out
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity, or the plain one if larger, of (ascending hashes, weights)."""
+    """Weighted Jaccard similarity of (ascending hashes, weights)."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
     at = np.searchsorted(b[0], a[0])
     at[at == len(b[0])] = 0
     both = b[0][at] == a[0]
-    n = int(both.sum())
     shared = float(np.minimum(a[1][both], b[1][at[both]]).sum())
-    weighted = shared / (float(a[1].sum()) + float(b[1].sum()) - shared)
-    return max(weighted, n / (len(a[0]) + len(b[0]) - n))
+    return shared / (float(a[1].sum()) + float(b[1].sum()) - shared)
+
+
+def _weighted_sets(texts: pa.ChunkedArray, idf: Idf) -> list[tuple[np.ndarray, np.ndarray]]:
+    sets = []
+    for block in blocks(texts.combine_chunks()):
+        sh = Shingles(block)
+        weights = sh.weights(idf)
+        sets += [(sh.hashes[a:b], weights[a:b]) for a, b in zip(sh.begin[:-1], sh.begin[1:], strict=True)]
+    return sets
 
 
 def _verified(idf_shared, similar: float):
+    """Spanning forests of the links of a block, of texts in different components."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = idf_shared.value
         for table in _runs(batches, 3):
             nodes, chunk = table.column("node").to_numpy(), table.column("chunk").to_numpy()
             across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
-            sets = []
-            for block in blocks(table.column("text").combine_chunks()):
-                sh = Shingles(block)
-                weights = sh.weights(idf)
-                sets += [(sh.hashes[a:b], weights[a:b]) for a, b in zip(sh.begin[:-1], sh.begin[1:], strict=True)]
-            n = len(sets)
-            forest, out = _Forest(n), []
-            size = np.array([len(s[0]) for s in sets])
-            sketch = np.stack([_sketch(s[0]) for s in sets]) if n > 2 else None
-            pairs: list[tuple[float, int, int]] = []
-            for i in range(n - 1):
-                rest = np.arange(i + 1, n)
+            sets = _weighted_sets(table.column("text"), idf)
+            total = np.array([s[1].sum() for s in sets])
+            _, known = np.unique(table.column("comp").to_numpy(), return_inverse=True)
+            forest, out = _Forest(int(known.max()) + 1), []
+            for i in range(len(sets) - 1):
+                # Sums of weights that differ by more than the threshold rule a link out.
+                rest = np.arange(i + 1, len(sets))
+                rest = rest[np.minimum(total[rest], total[i]) >= similar * np.maximum(total[rest], total[i]) - 1e-9]
                 if across:
                     rest = rest[chunk[rest] != chunk[i]]
-                share = np.ones(len(rest))
-                if sketch is not None:
-                    used = (sketch[rest] != 0) | (sketch[i] != 0)
-                    share = ((sketch[rest] == sketch[i]) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
-                    few = np.minimum(size[rest], size[i]) < 60
-                    rest, share = rest[few | (share >= ESTIMATE)], share[few | (share >= ESTIMATE)]
-                pairs += zip((-share).tolist(), [i] * len(rest), rest.tolist(), strict=True)
-            pairs.sort()
-            for _, i, j in pairs:
-                if forest.root(i) != forest.root(j) and similarity(sets[i], sets[j]) >= similar:
-                    forest.join(i, j)
-                    out.append((int(nodes[i]), int(nodes[j])))
+                for j in rest.tolist():
+                    if forest.root(known[i]) != forest.root(known[j]) and similarity(sets[i], sets[j]) >= similar:
+                        forest.join(known[i], known[j])
+                        out.append((int(nodes[i]), int(nodes[j])))
             if out:
                 yield _edge_batch(out)
 
     return run
 
 
+def _star_links(idf_shared, similar: float):
+    """Links of each group's first row, the pivot, with its other rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = idf_shared.value
+        for table in _runs(batches, 2):
+            nodes = table.column("node").to_numpy()
+            sets = _weighted_sets(table.column("text"), idf)
+            out = [(int(nodes[0]), int(n)) for n, s in zip(nodes[1:], sets[1:], strict=True) if similarity(sets[0], s) >= similar]
+            if out:
+                yield _edge_batch(out)
+
+    return run
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, samples of a, samples of b) the pairs that agree in enough samples."""
+    for batch in batches:
+        side = lambda k, batch=batch: np.stack([batch.column(2 + 8 * k + i).to_numpy() for i in range(8)], axis=1).view(np.uint8)
+        near = (side(0) == side(1)).sum(axis=1) >= ESTIMATE * SAMPLES if batch.num_rows else np.zeros(0, bool)
+        yield batch.select([0, 1]).filter(pa.array(near))
+
+
 def _row() -> Column:
     """Tells rows apart: by doc_id (if there is one) and by text, as a doc_id may come again with another text."""
     return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), F.xxhash64("text").alias("copy"))
@@ -412,29 +436,48 @@ def _classes(docs: DataFrame, similar: float) -> DataFrame:
     nodes = signed.where("not wordless").groupBy("node", "extra").agg(F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in samples])
     nodes = written(nodes, "nodes")
     bands = nodes.select("node", "extra", F.explode("keys").alias("key"))
-    full = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = _blocked(bands.join(full, "key").join(nodes.drop("keys"), ["node", "extra"]), "key", BUCKET_BLOCK)
-    ordered = members.select("key", "lo", "hi", "node", "chunk", *samples).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    near = connected_components(ordered.mapInArrow(_estimated, "a long, b long"))
+    # Written, so that the joins below have plain exchanges on both sides and a hot bucket can be split.
+    full = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n"), "buckets")
+    members = written(bands.join(full, "key"), "members")
+    sketches = nodes.drop("keys")
 
-    # One text for each node of a component.
+    # One text for each node that shares a bucket.
     chosen = signed.where("not wordless").groupBy("node").agg(F.min("row").alias("row"))
-    sizes = near.groupBy("label").agg(F.count("*").alias("n"))
-    candidates = near.join(sizes, "label").join(chosen, "node")
-    texts = candidates.join(docs.select(row.alias("row"), "text"), "row").dropDuplicates(["node"])
-    blocked = _blocked(texts.select("label", "node", "n", "text"), "label", TEXT_BLOCK)
-    ordered = blocked.select("label", "lo", "hi", "node", "chunk", "text").repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
-    links = ordered.mapInArrow(_verified(idf, similar), "a long, b long")
-    labels = written(connected_components(links), "labels")
+    wanted = members.select("node").distinct().join(chosen, "node")
+    texts = written(docs.select(row.alias("row"), "text").join(wanted, "row").dropDuplicates(["node"]).select("node", "text"), "texts")
+
+    # The star of each bucket, first by samples, then by texts.
+    named = lambda side: sketches.select(F.col("node").alias(side), "extra", *[F.col(s).alias(f"{side}_{s}") for s in samples])
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "extra").distinct()
+    sampled = pairs.join(named("a"), ["a", "extra"]).join(named("b"), ["b", "extra"]).select("a", "b", *[f"{side}_{s}" for side in "ab" for s in samples])
+    star = written(sampled.mapInArrow(_agreeing, "a long, b long").distinct(), "star")
+    parts = written(star.groupBy("a").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("parts")), "pivots")
+    ends = star.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("place"), F.col("b").alias("node")).join(texts, "node")
+    heads = parts.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), F.col("a").alias("node"), "text")
+    grouped = heads.unionByName(ends).repartition("a", "part").sortWithinPartitions("a", "part", "place")
+    links = written(grouped.select("a", "part", "node", "text").mapInArrow(_star_links(idf, similar), "a long, b long"), "star_links")
+    first = written(connected_components(links), "first_labels")
+
+    # Pairs of a bucket, and then of candidates, that are in different components so far.
+    comp = F.coalesce("label", "node").alias("comp")
+    labelled = members.select("key", "node", "extra").join(first, "node", "left").select("key", "node", "extra", comp)
+    open_ = _blocked(labelled, "key", BUCKET_BLOCK).join(sketches, ["node", "extra"])
+    ordered = open_.select("key", "lo", "hi", "node", "chunk", "comp", *samples).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    near = written(connected_components(ordered.mapInArrow(_estimated, "a long, b long")), "candidates").withColumnRenamed("label", "group")
+    grouped = near.join(first, "node", "left").select("group", "node", comp)
+    blocked = _blocked(grouped, "group", TEXT_BLOCK).join(texts, "node")
+    ordered = blocked.select("group", "lo", "hi", "node", "chunk", "comp", "text").repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    late = ordered.mapInArrow(_verified(idf, similar), "a long, b long")
+    labels = written(connected_components(links.union(late)), "labels")
 
     rows = signed.where("not extra").select("doc_id", "row", F.when(F.col("wordless"), F.xxhash64("row", F.lit("wordless"))).otherwise(F.col("node")).alias("node"))
-    labelled = rows.join(labels, "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))
-    summary = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("row").alias("first_row"))
+    labelled = written(rows.join(labels, "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label")), "labelled")
+    summary = written(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("row").alias("first_row")), "classes")
     return labelled.join(summary, "label").select("doc_id", "row", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each class, all its columns kept."""
-    row = _row()
-    kept = _classes(docs, similar).where("kept").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = fresh(docs, "row")
+    kept = _classes(docs, similar).where("kept").select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, _row()).join(kept, row, "left_semi").dropDuplicates([row]).drop(row)

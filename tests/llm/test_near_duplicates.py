@@ -25,7 +25,7 @@ def brute_classes(rows):
     """Least index of each row's class, over all pairs."""
     sets = [shingles(t) for t in rows]
     df = Counter(s for x in sets for s in x)
-    weight = lambda s: 0.9 + 0.1 * min(max(math.log2(len(rows) / df[s]) / 6, 0), 1) if df[s] >= len(rows) / 64 else 1.0
+    weight = lambda s: min(max(math.log(len(rows) / df[s]) / math.log(256), 0.5), 1)
     parent = list(range(len(rows)))
 
     def root(i):
@@ -40,8 +40,7 @@ def brute_classes(rows):
             if not a or not b or not (a.keys() & b.keys()):
                 continue
             w = sum((1 + math.log(min(a[s], b[s]))) * weight(s) for s in a.keys() & b.keys()) / sum((1 + math.log(max(a[s], b[s]))) * weight(s) for s in a.keys() | b.keys())
-            plain = len(a.keys() & b.keys()) / len(a.keys() | b.keys())
-            if max(w, plain) >= 0.8:
+            if w >= 0.8:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
                 close += 1
     return [root(i) for i in range(len(rows))], close
