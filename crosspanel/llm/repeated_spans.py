@@ -3,32 +3,38 @@
 A byte goes if some 100-byte string over it also starts earlier (in a document with a smaller
 doc_id, or earlier in the same one). Matches never cross documents and are judged on the input.
 
-Inserting one symbol of every document a round into a collection's Burrows-Wheeler transform
-takes as many sequential rounds over the whole transform as the longest text has bytes, which a
-cluster can't shorten. So the equal 100-byte strings are found here by content anchors instead:
+The collection's Burrows-Wheeler transform and common prefixes are built column by column, one
+symbol of every string a round (`column_wise`). Over whole documents that would take as many rounds over everything
+as the longest text has bytes, one after the other, so it is done for many small collections of short strings at once, dealt
+by content so that equal strings are in one collection:
 
 1. The anchor of a 100-byte string is its 40-byte substring with the least hash (the first of
    equals). Equal strings have equal anchors at equal places. Neighbouring strings mostly share
-   an anchor: they form a run, told by its anchor and by a hash of all its bytes (its context).
+   an anchor: they form a run of 160 bytes at most, told by its anchor and by a hash of all its bytes (its context).
    A task keeps one occurrence of each context of a block of texts, the earliest; the other
    occurrences are repeats already.
-2. Occurrences meet by anchor, in buckets of bounded size. All but the earliest of equal contexts
-   are repeats. Where an anchor has several contexts, the earliest occurrence of each needs a
-   closer look.
-3. The single 100-byte strings of those runs meet by their hash; all but the earliest are repeats.
-4. Each text is joined with its repeats, and what they cover is removed.
+2. Occurrences meet by anchor. All but the earliest of equal contexts are repeats. An anchor with one context has
+   no further repeats.
+3. The runs of an anchor with several contexts, cut from their texts, are a collection. After at most 160 rounds, strings whose
+   common prefix has 100 bytes are equal; all but the earliest are repeats. An anchor with more than HOT
+   contexts would make a collection without bound: its single strings are dealt by their hash instead.
+4. Each text meets its repeats, and what they cover is removed.
 
-What travels is packed: a row is a compressed block of many occurrences. Hashes have 64 bits.
+What travels is packed: a row is a compressed block of many occurrences. Buckets of places have about BUCKET_BYTES of text
+and are worked through one by one in a partition; texts stream past the places that belong to them. Equal contexts, and strings of hot anchors, are told by 64-bit hashes (a context
+also by its anchor's); strings in collections by their bytes.
 
 Defined cases: a null text counts as empty; texts of fewer than 100 bytes lose nothing; a null
 doc_id comes before all others; rows with equal doc_id and equal text are one document, each row
 with the same result, and rows with equal doc_id and different texts are ordered by a hash of
-the text; an empty table gives an empty result; other columns play no part.
+the text; a text of over 4 MB is worked on in overlapping parts, with the same result; an empty table gives an empty
+result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +45,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .bytewords import SEGMENT, U64, Block, blocks, mix, powers, prefix_hashes, span_hashes
-from .store import written
+from .column_wise import build, equal_strings
+from .store import fresh, written
 
 LENGTH, ANCHOR = 100, 40
-BUCKET_BYTES = 12 << 20
+#: Bytes of text in a bucket and in a partition; contexts of an anchor; bytes of a collection of runs.
+BUCKET_BYTES, PARTITION_BYTES, HOT, COLLECTION = 12 << 20, 96 << 20, 4096, 64 << 10
 NULL_ID = -(2**63)
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _POSITION = U64((1 << 24) - 1)
@@ -143,7 +151,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 _BLOBS = "bucket long, kind int, raw binary"
-REPEAT, LOOK, OCCURRENCE = 0, 1, 2
+REPEAT, LOOK, OCCURRENCE, RUN, TEXT = 0, 1, 2, 3, 9
 
 
 def _home(doc_id: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
@@ -200,22 +208,57 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     column, becomes the length of the new text. Null and empty texts stay as they are.
     """
     cleaned = _cleaned(docs, "doc_id long, tie long, cleaned string", lambda doc_id, text, cuts: (doc_id, np.frombuffer(text, np.uint8)[~cuts].tobytes().decode("utf-8", "ignore")), tie=True)
-    renamed = cleaned.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_row"), F.col("tie").alias("_tie"), F.col("cleaned").alias("_cleaned")).dropDuplicates(["_row", "_tie"])
-    keyed = docs.withColumns({"_row": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_tie": _tie(F.col("text")), "_bare": F.coalesce(F.col("text") == "", F.lit(True)), "_null": F.col("text").isNull()}).drop("text")
-    text = F.when(~F.col("_null"), F.col("_cleaned"))
-    new = {"text": text.alias("text")} | ({"n_chars": F.when(F.col("_bare"), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
-    return keyed.join(renamed, ["_row", "_tie"]).where("_bare or _cleaned <> ''").select(*[new.get(c, F.col(c)) for c in docs.columns])
+    names = [fresh(docs, n) for n in ("row", "tie", "cleaned", "bare", "null")]
+    row, tie, new_text, bare, null = names
+    renamed = cleaned.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(row), F.col("tie").alias(tie), F.col("cleaned").alias(new_text)).dropDuplicates([row, tie])
+    keyed = docs.withColumns({row: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), tie: _tie(F.col("text")), bare: F.coalesce(F.col("text") == "", F.lit(True)), null: F.col("text").isNull()}).drop("text")
+    text = F.when(~F.col(null), F.col(new_text))
+    new = {"text": text.alias("text")} | ({"n_chars": F.when(F.col(bare), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
+    return keyed.join(renamed, [row, tie]).where(F.col(bare) | (F.col(new_text) != "")).select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
 def _tie(text):
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2**32))
 
 
+def _pack_runs(columns: list[np.ndarray], texts: list[bytes]) -> bytes:
+    """Runs (place, anchor) and their bytes; columns are in order of place already."""
+    import zstandard
+
+    places = _pack_places(*columns)
+    return len(places).to_bytes(8, "little") + places + zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+
+
+def _unpack_runs(raws: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    import zstandard
+
+    cut = [8 + int.from_bytes(r[:8], "little") for r in raws]
+    places = _unpack_places([r[8:c] for r, c in zip(raws, cut, strict=True)], "L")
+    return places, np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r[c:]) for r, c in zip(raws, cut, strict=True)), np.uint8)
+
+
+def _collections(anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of runs in collections of about COLLECTION bytes; runs of one anchor stay together."""
+    order = np.argsort(anchor, kind="stable")
+    ends = np.append(np.flatnonzero(anchor[order][1:] != anchor[order][:-1]) + 1, len(order))
+    filled, begin = np.cumsum(size[order]), 0
+    while begin < len(order):
+        done = filled[begin - 1] if begin else 0
+        to = int(ends[np.searchsorted(ends, np.searchsorted(filled, done + COLLECTION, "right"), "right").clip(max=len(ends) - 1)])
+        if to > begin + 1 and filled[to - 1] - done > 2 * COLLECTION:  # leave the last, large anchor to the next collection
+            at = int(np.searchsorted(ends, to)) - 1
+            if at >= 0 and ends[at] > begin:
+                to = int(ends[at])
+        yield order[begin:to]
+        begin = to
+
+
 def _cleaned(docs: DataFrame, schema: str, make, tie: bool = False) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), _tie(F.col("text")).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_BYTES) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PARTITION_BYTES) + 1)
+    n = parts * (int(total // (parts * BUCKET_BYTES)) + 1)  # buckets
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,76 +267,153 @@ def _cleaned(docs: DataFrame, schema: str, make, tie: bool = False) -> DataFrame
                 doc, at, count, anchor, context = runs(block)
                 doc_id, tie_of, at = ids[block.first + doc], ties[block.first + doc], at.astype(np.uint32)
                 kept, rest = _firsts([context], doc_id, tie_of, at)
-                out = list(_by_bucket((anchor[kept] >> U64(32)).astype(np.int64) % n, OCCURRENCE, [doc_id[kept], tie_of[kept], at[kept], count[kept], (anchor[kept] & U64(0xFFFFFFFF)).astype(np.uint32), context[kept]]))
+                out = list(_by_bucket((anchor[kept] >> U64(32)).astype(np.int64) % n, OCCURRENCE, [doc_id[kept], tie_of[kept], at[kept], count[kept], anchor[kept], context[kept]]))
                 out += _by_bucket(_home(doc_id[rest], tie_of[rest], n), REPEAT, [doc_id[rest], tie_of[rest], at[rest], count[rest]])
                 if out:
                     yield _batch(out)
 
     found = written(source.mapInArrow(scan, _BLOBS), "runs")
 
-    def meet(batches: Iterator[pa.RecordBatch], keys: str) -> Iterator[pa.RecordBatch]:
+    def repeats_of(doc_id, tie_of, at, count) -> list[tuple[int, int, bytes]]:
+        return list(_by_bucket(_home(doc_id, tie_of, n), REPEAT, [doc_id, tie_of, at, count]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Occurrences of contexts: later ones are repeats; anchors of several contexts need a look at the texts."""
         for raws in _buckets(batches):
-            doc_id, tie_of, at, count, *key = _unpack_places(raws, keys)
-            kept, rest = _firsts(key, doc_id, tie_of, at)
-            out = list(_by_bucket(_home(doc_id[rest], tie_of[rest], n), REPEAT, [doc_id[rest], tie_of[rest], at[rest], count[rest]]))
-            if len(key) == 2:  # anchors with more than one context
-                anchor = key[0][kept]
-                several = np.zeros(len(kept), bool)
-                several[1:] = anchor[1:] == anchor[:-1]
-                several[:-1] |= several[1:]
-                look = kept[several]
-                out += _by_bucket(_home(doc_id[look], tie_of[look], n), LOOK, [doc_id[look], tie_of[look], at[look], count[look]])
+            doc_id, tie_of, at, count, anchor, context = _unpack_places(raws, "LL")
+            kept, rest = _firsts([anchor, context], doc_id, tie_of, at)
+            out = repeats_of(doc_id[rest], tie_of[rest], at[rest], count[rest])
+            _, of, times = np.unique(anchor[kept], return_inverse=True, return_counts=True)
+            look = kept[times[of] > 1]
+            hot = (times[of] > HOT)[times[of] > 1]
+            out += _by_bucket(_home(doc_id[look], tie_of[look], n), LOOK, [doc_id[look], tie_of[look], at[look], count[look], anchor[look], hot.astype(np.uint8)])
+            if out:
+                yield _batch(out)
+
+    def meet_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Single strings by their hash."""
+        for raws in _buckets(batches):
+            doc_id, tie_of, at, count, key = _unpack_places(raws, "L")
+            _, rest = _firsts([key], doc_id, tie_of, at)
+            out = repeats_of(doc_id[rest], tie_of[rest], at[rest], count[rest])
+            if out:
+                yield _batch(out)
+
+    def meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of bytes: each collection's transform and common prefixes tell which strings are equal."""
+        for raws in _buckets(batches):
+            (doc_id, tie_of, at, count, anchor), data = _unpack_runs(raws)
+            size = count.astype(np.int64) + LENGTH - 1
+            begin = np.cumsum(size) - size
+            out: list[tuple[int, int, bytes]] = []
+            for rows in _collections(anchor, size):
+                bytes_of = np.concatenate([data[begin[i] : begin[i] + size[i]] for i in rows])
+                string, start, group = equal_strings(build(bytes_of, size[rows]), size[rows], LENGTH)
+                run = rows[string]
+                ids, ties, starts = doc_id[run], tie_of[run], (at[run] + start).astype(np.uint32)
+                _, rest = _firsts([group], ids, ties, starts)
+                out += repeats_of(ids[rest], ties[rest], starts[rest], np.ones(len(rest), np.uint8))
             if out:
                 yield _batch(out)
 
     def bucketed(blobs: DataFrame) -> DataFrame:
-        return blobs.select("bucket", "raw").repartition(n, "bucket").sortWithinPartitions("bucket")
-
-    by_anchor = written(bucketed(found.where(F.col("kind") == OCCURRENCE)).mapInArrow(lambda b: meet(b, "IL"), _BLOBS), "by_anchor")
-    texts = source.withColumn("bucket", _home_column(n))
-
-    def look(texts_of: pa.Table, blobs: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, bytes]] = []
-        doc_id, tie_of, at, count = _unpack_places(blobs.column("raw").to_pylist())
-        hashes, places = [], []
-        for i, (_, _, text) in _texts(texts_of, doc_id, tie_of):
-            data = np.frombuffer(text, np.uint8)
-            for a in range(0, max(1, len(data) - LENGTH + 1), SEGMENT):
-                use = i[(at[i] >= a) & (at[i] < a + SEGMENT)]
-                if len(use):
-                    times = count[use].astype(np.int64)
-                    start = np.repeat(at[use].astype(np.int64), times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    part = data[a : a + SEGMENT + 2 * LENGTH]
-                    hashes.append(span_hashes(prefix_hashes(part), start - a, start - a + LENGTH))
-                    places.append((np.full(len(start), doc_id[use[0]]), np.full(len(start), tie_of[use[0]]), start.astype(np.uint32)))
-        if hashes:
-            key = np.concatenate(hashes)
-            ids, ties, starts = (np.concatenate(c) for c in zip(*places, strict=True))
-            one = np.ones(len(key), np.uint8)
-            kept, rest = _firsts([key], ids, ties, starts)
-            rows += _by_bucket((key[kept] >> U64(8)).astype(np.int64) % n, OCCURRENCE, [ids[kept], ties[kept], starts[kept], one[kept], key[kept]])
-            rows += _by_bucket(_home(ids[rest], ties[rest], n), REPEAT, [ids[rest], ties[rest], starts[rest], one[rest]])
-        return pa.Table.from_batches([_batch(rows)])
-
-    looked = by_anchor.where(F.col("kind") == LOOK).select("bucket", "raw").groupBy("bucket")
-    windows = written(texts.groupBy("bucket").cogroup(looked).applyInArrow(look, _BLOBS), "windows")
-    by_window = written(bucketed(windows.where(F.col("kind") == OCCURRENCE)).mapInArrow(lambda b: meet(b, "L"), _BLOBS), "by_window")
+        """A partition's buckets one after the other, their places before their texts."""
+        return blobs.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "kind")
+
+    of_kind = lambda blobs, kind: bucketed(blobs.where(F.col("kind") == kind)).select("bucket", "raw")
+    by_anchor = written(of_kind(found, OCCURRENCE).mapInArrow(meet, _BLOBS), "by_anchor")
+    texts = source.select(_home_column(n).alias("bucket"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("raw"), "doc_id", "tie", "text")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("tie", "long"), ("text", "string"))]
+
+    def with_texts(blobs: DataFrame) -> DataFrame:
+        return bucketed(blobs.select("bucket", F.lit(0).alias("kind"), "raw", *nothing).union(texts)).select("bucket", "raw", "doc_id", "tie", "text")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (doc_id, tie_of, at, count, anchor, hot), texts_of in _with_places(batches, "LB"):
+            rows: list[tuple[int, int, bytes]] = []
+            hashes, places, runs_of, bytes_of = [], [], [], []
+            for i, _, _, text in texts_of:
+                if not len(i):
+                    continue
+                cold, warm = i[hot[i] == 0], i[hot[i] == 1]
+                runs_of.append(cold)
+                bytes_of += [text[a : a + c + LENGTH - 1] for a, c in zip(at[cold].tolist(), count[cold].tolist(), strict=True)]
+                data = np.frombuffer(text, np.uint8)
+                for a in range(0, max(1, len(data) - LENGTH + 1), SEGMENT) if len(warm) else ():
+                    use = warm[(at[warm] >= a) & (at[warm] < a + SEGMENT)]
+                    if len(use):
+                        times = count[use].astype(np.int64)
+                        start = np.repeat(at[use].astype(np.int64), times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        part = data[a : a + SEGMENT + 2 * LENGTH]
+                        hashes.append(span_hashes(prefix_hashes(part), start - a, start - a + LENGTH))
+                        places.append((np.full(len(start), doc_id[use[0]]), np.full(len(start), tie_of[use[0]]), start.astype(np.uint32)))
+            if hashes:
+                key = np.concatenate(hashes)
+                ids, ties, starts = (np.concatenate(c) for c in zip(*places, strict=True))
+                one = np.ones(len(key), np.uint8)
+                kept, rest = _firsts([key], ids, ties, starts)
+                rows += _by_bucket((key[kept] >> U64(8)).astype(np.int64) % n, OCCURRENCE, [ids[kept], ties[kept], starts[kept], one[kept], key[kept]])
+                rows += repeats_of(ids[rest], ties[rest], starts[rest], one[rest])
+            if bytes_of:
+                of = np.concatenate(runs_of)
+                bucket = (anchor[of] >> U64(32)).astype(np.int64) % n
+                order = np.lexsort((at[of], tie_of[of], doc_id[of], bucket))
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+                    take = order[a:b]
+                    r = of[take]
+                    rows.append((int(bucket[take[0]]), RUN, _pack_runs([doc_id[r], tie_of[r], at[r], count[r], anchor[r]], [bytes_of[k] for k in take])))
+            if rows:
+                yield _batch(rows)
+
+    looked = written(with_texts(by_anchor.where(F.col("kind") == LOOK)).mapInArrow(look, _BLOBS), "looked")
+    by_string = written(of_kind(looked, OCCURRENCE).mapInArrow(meet_strings, _BLOBS), "by_string")
+    by_run = written(of_kind(looked, RUN).mapInArrow(meet_runs, _BLOBS), "by_run")
 
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
-    def cut(texts_of: pa.Table, blobs: pa.Table) -> pa.Table:
-        doc_id, tie_of, at, count = _unpack_places(blobs.column("raw").to_pylist())
-        out = []
-        for i, (own_id, own_tie, text) in _texts(texts_of, doc_id, tie_of, every=True):
-            edges = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edges, at[i], 1)
-            np.add.at(edges, at[i].astype(np.int64) + count[i] - 1 + LENGTH, -1)
-            row = make(None if own_id == NULL_ID else own_id, text, np.cumsum(edges[:-1]) > 0)
-            out.append((row[0], own_tie, *row[1:]) if tie else row)
-        return pa.Table.from_pydict({f.name: pa.array([r[k] for r in out], f.type) for k, f in enumerate(fields)}, schema=fields)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, at, count), texts_of in _with_places(batches, "", every=True):
+            out: list[tuple] = []
+            for i, own_id, own_tie, text in texts_of:
+                edges = np.zeros(len(text) + 1, np.int32)
+                np.add.at(edges, at[i], 1)
+                np.add.at(edges, at[i].astype(np.int64) + count[i] - 1 + LENGTH, -1)
+                row = make(None if own_id == NULL_ID else own_id, text, np.cumsum(edges[:-1]) > 0)
+                out.append((row[0], own_tie, *row[1:]) if tie else row)
+                if len(out) == 1000:
+                    yield _rows(out, fields)
+                    out = []
+            yield _rows(out, fields)
+
+    repeats = found.union(by_anchor).union(looked).union(by_string).union(by_run).where(F.col("kind") == REPEAT)
+    return written(with_texts(repeats).mapInArrow(cut, schema), "repeated_spans")
+
 
-    repeats = found.union(by_anchor).union(windows).union(by_window).where(F.col("kind") == REPEAT).select("bucket", "raw").groupBy("bucket")
-    return written(texts.groupBy("bucket").cogroup(repeats).applyInArrow(cut, schema), "repeated_spans")
+def _rows(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
+
+
+def _with_places(batches: Iterator[pa.RecordBatch], more: str, every: bool = False):
+    """For each bucket of batches (bucket, raw, doc_id, tie, text), sorted with the places before the texts: the places'
+    columns and an iterator over the texts, (rows of its places, doc_id, tie, text), each once or, for `every`, for every row.
+    """
+
+    def flat():
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), *[batch.column(k) for k in range(1, 5)], strict=True)
+
+    for _, group in itertools.groupby(flat(), key=lambda r: r[0]):
+        raws, first = [], None
+        for row in group:
+            if row[4].is_valid:
+                first = row
+                break
+            raws.append(row[1].as_py())
+        if first is None or not (raws or every):
+            continue
+        places = _unpack_places(raws, more)
+        yield places, _texts(itertools.chain([first], group), places[0], places[1], every)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -311,8 +431,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _texts(table: pa.Table, doc_id: np.ndarray, tie: np.ndarray, every: bool = False):
-    """For each text of the table (once, or every row) the rows of its places and (doc_id, tie, text)."""
+def _texts(rows, doc_id: np.ndarray, tie: np.ndarray, every: bool):
     order = np.lexsort((tie, doc_id))
     key = {}
     if len(order):
@@ -320,8 +439,8 @@ def _texts(table: pa.Table, doc_id: np.ndarray, tie: np.ndarray, every: bool = F
         for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
             key[int(doc_id[order[a]]), int(tie[order[a]])] = order[a:b]
     none, seen = np.zeros(0, np.int64), set()
-    for own_id, own_tie, text in zip(table.column("doc_id").to_pylist(), table.column("tie").to_pylist(), table.column("text"), strict=True):
-        own = (own_id, own_tie)
+    for _, _, own_id, own_tie, text in rows:
+        own = own_id.as_py(), own_tie.as_py()
         if every or own in key and own not in seen:
             seen.add(own)
-            yield key.get(own, none), (own_id, own_tie, text.as_buffer().to_pybytes())
+            yield key.get(own, none), *own, text.as_buffer().to_pybytes()

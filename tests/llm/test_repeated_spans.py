@@ -88,3 +88,31 @@ def test_odd_tables(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, p), (2, None), (2, ""), (3, "!")], key=str)
     spans = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in rs.removed_spans(docs).collect() if r["doc_id"] == 3}
     assert spans == {3: [(0, n), (n + 1, 2 * n + 1)]}
+
+
+def test_hot_anchors_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(rs, "HOT", 1)
+    compare(spark, case())
+
+
+def test_a_common_passage_among_differing_words(spark):
+    """One 60-byte passage with differing surroundings everywhere, then with some that agree."""
+    rng = random.Random(6)
+    passage = " all rights are reserved by the owners of the said material "
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(90))
+    sides = [word() for _ in range(12)]
+    rows = [(i, word() + passage + word()) for i in range(80)] + [(100 + i, rng.choice(sides) + passage + rng.choice(sides)) for i in range(60)]
+    compare(spark, rows)
+
+
+def test_clashing_columns_stay(spark):
+    from pyspark.sql import functions as F
+
+    p = " ".join(f"w{i}" for i in range(60))
+    docs = documents(spark, [(1, p), (2, p + " more"), (3, "short"), (3, "other")])
+    for name in ("_row", "row", "_cleaned", "cleaned", "tie", "_tie", "bare", "null", "bucket", "kind", "raw"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    kept = rs.without_repeats(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"], r["row"], r["_cleaned"], r["_tie"], r["raw"]) for r in kept.collect())
+    assert got == [(i, t, f"row{i}", f"_cleaned{i}", f"_tie{i}", f"raw{i}") for i, t in [(1, p), (2, " more"), (3, "other"), (3, "short")]]
