@@ -1,18 +1,20 @@
 """Token ids in binary files: one zstandard frame for each document, with a dictionary shared by all.
 
-A file holds, in ascending doc_id order: the magic, the SHA-256 of the dictionary, one frame for
+A folder holds the dictionary, in a file named by its SHA-256, and token files. A token file holds, in
+ascending doc_id order: the magic, the bytes of an id (2, or 4 for vocabularies of over 65536 entries), the SHA-256 of the dictionary, one frame for
 each document, the index (doc_id, offset, frame bytes, ids; 24 bytes a document), the
-index's offset, the number of documents and the magic again. A reader gets at one short document
-by the footer, a search of the index and one frame. Ids are serialized as little-endian integers
-of 2 bytes, or 4 for larger vocabularies. The dictionary is trained on the serialized ids of at
-most SAMPLE documents, the ones with the smallest hashes, of which it sees SAMPLE_CHARS each; it
+index's offset, the number of documents and the magic again. A reader needs the folder only: it gets at one short document
+by the footer, a search of the index and one frame. Ids are serialized as little-endian
+integers. The dictionary serves short documents, so it is trained on the serialized ids of at
+most SAMPLE whole documents of up to SAMPLE_CHARS characters, the ones with the smallest hashes; it
 affects the size of the files only.
 
-A task writes under a name of its own and reports the file in its output; a task that is run
+A file has about FILE_BYTES of text, whatever the table's size. A task writes under a name of its own and reports the file in its output; a task that is run
 again writes another file, and only files that were reported are read.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id is held as the least long
-and comes first; rows with one doc_id are ordered by a hash of the text; an empty table has no files.
+and comes first; rows with one doc_id are ordered by a hash of the text, and a search finds the first of them; a text of any length is one frame (its ids are held in memory
+once); an empty table has no files; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -34,10 +36,11 @@ from .bytewords import Block, blocks
 from .chunks import ChunkCode, cut_spans
 from .store import new_path
 
-MAGIC, LEVEL, DICTIONARY_BYTES, SAMPLE, SAMPLE_CHARS, END = b"CPTOKID1", 3, 64 << 10, 1000, 8000, 1
+MAGIC, LEVEL, DICTIONARY_BYTES, SAMPLE, SAMPLE_CHARS, END = b"CPTOKID2", 3, 64 << 10, 1000, 8000, 1
+FILE_BYTES = 256 << 20
 NULL_ID = -(2**63)
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("n_tokens", "<u4")])
-_FOOTER = "<QQ8s"
+_HEADER, _FOOTER = "<8sB32s", "<QQ8s"
 _BYTE = np.arange(256)
 _SPACE = np.isin(_BYTE, [9, 10, 13, 32])
 _LETTER = (_BYTE >= 0x80) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
@@ -108,11 +111,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE)
     """A dictionary from the serialized ids of a bounded sample; b"" where there is too little to learn from."""
     import zstandard
 
-    hashed = docs.where("text <> ''").withColumn("h", F.xxhash64("doc_id", "text"))
+    hashed = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h"))
     smallest = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes only, so that no task sends texts that lose
     if smallest is None:
         return b""
-    rows = hashed.where(F.col("h") <= smallest).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * sample).collect()
+    rows = hashed.where(F.col("h") <= smallest).select("text").limit(2 * sample).collect()
     encoder = WordEncoder(tokenizer_path)
     samples = [ids.astype(_dtype(encoder.size)).tobytes() for block in blocks(pa.array([r["text"] for r in rows], pa.string())) for ids in encoder(block)]
     try:
@@ -127,11 +130,23 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END, level: int = LEVEL) -> tuple[DataFrame, bytes]:
-    """Write docs(doc_id, text) in ascending doc_id order; returns one row for each file (path, first, n_docs, n_tokens) and the dictionary."""
+def _store_dictionary(folder: str, raw: bytes) -> bytes:
+    """Write the dictionary beside the files; returns its SHA-256."""
+    digest = hashlib.sha256(raw).digest()
+    system, path = _filesystem(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{digest.hex()}.dictionary") as out:
+        out.write(raw)
+    return digest
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write docs(doc_id, text) in ascending doc_id order; one row for each file (path, first, n_docs, n_tokens, part)."""
     spark = docs.sparkSession
     raw = train_dictionary(docs, tokenizer_path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    digest = _store_dictionary(folder, raw)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = slim.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
@@ -139,50 +154,57 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw))
-        encoder, stream, index, at, first = worker_encoder(tokenizer_path), None, [], 0, None
+        encoder, stream, index, at = worker_encoder(tokenizer_path), None, [], struct.calcsize(_HEADER)
         kind = _dtype(encoder.size)
         for batch in batches:
             ids_of = batch.column(0).to_numpy()
             for block in blocks(batch.column(1)):
+                if stream is None:
+                    system, path = _filesystem(folder)
+                    name = f"{uuid.uuid4().hex}.ids"
+                    stream = system.open_output_stream(f"{path}/{name}")
+                    stream.write(struct.pack(_HEADER, MAGIC, np.dtype(kind).itemsize, digest))
+                entries = np.zeros(block.rows, _INDEX)
+                entries["doc_id"] = ids_of[block.first : block.first + block.rows]
                 for i, ids in enumerate(encoder(block)):
-                    doc_id = int(ids_of[block.first + i])
-                    if stream is None:
-                        system, path = _filesystem(folder)
-                        system.create_dir(path, recursive=True)
-                        name, first = f"{uuid.uuid4().hex}.ids", doc_id
-                        stream = system.open_output_stream(f"{path}/{name}")
-                        stream.write(MAGIC + hashlib.sha256(raw).digest())
-                        at = len(MAGIC) + 32
                     frame = press.compress(np.append(ids, end_id).astype(kind).tobytes())
                     stream.write(frame)
-                    index.append((doc_id, at, len(frame), len(ids) + 1))
-                    at += len(frame)
+                    entries["bytes"][i], entries["n_tokens"][i] = len(frame), len(ids) + 1
+                entries["offset"] = at + np.cumsum(entries["bytes"], dtype=np.uint64) - entries["bytes"]
+                at += int(entries["bytes"].sum(dtype=np.int64))
+                index.append(entries)
         if stream is not None:
-            table = np.array(index, _INDEX)
-            stream.write(table.tobytes())
-            stream.write(struct.pack(_FOOTER, at, len(table), MAGIC))
+            n_docs, n_tokens = sum(map(len, index)), sum(int(e["n_tokens"].sum(dtype=np.int64)) for e in index)
+            for entries in index:
+                stream.write(entries.tobytes())
+            stream.write(struct.pack(_FOOTER, at, n_docs, MAGIC))
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([first], pa.int64()), pa.array([len(table)], pa.int64()), pa.array([int(table["n_tokens"].sum())], pa.int64())], names=["path", "first", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([index[0]["doc_id"][0]], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["path", "first", "n_docs", "n_tokens"])
 
     files = ordered.mapInArrow(write, "path string, first long, n_docs long, n_tokens long").withColumn("part", F.spark_partition_id())
     rows = sorted(files.collect(), key=lambda r: r["part"])  # one for each file
-    return spark.createDataFrame([tuple(r) for r in rows], "path string, first long, n_docs long, n_tokens long, part int"), raw
+    return spark.createDataFrame([tuple(r) for r in rows], "path string, first long, n_docs long, n_tokens long, part int")
 
 
 class TokenFile:
-    """Random access to the documents of one file."""
+    """Random access to the documents of one file; the dictionary lies in its folder."""
 
-    def __init__(self, uri: str, raw: bytes, vocabulary: int = 1 << 16):
+    def __init__(self, uri: str):
         import zstandard
 
         system, path = _filesystem(uri)
-        self.file, self.kind = system.open_input_file(path), _dtype(vocabulary)
+        self.file = system.open_input_file(path)
         self.file.seek(self.file.size() - struct.calcsize(_FOOTER))
-        at, n, magic = struct.unpack(_FOOTER, self.file.read(struct.calcsize(_FOOTER)))
+        at, n, end = struct.unpack(_FOOTER, self.file.read(struct.calcsize(_FOOTER)))
         self.file.seek(0)
-        head = self.file.read(len(MAGIC) + 32)
-        if magic != MAGIC or head != MAGIC + hashlib.sha256(raw).digest():
-            raise ValueError(f"{uri} is no token file of this dictionary")
+        magic, width, digest = struct.unpack(_HEADER, self.file.read(struct.calcsize(_HEADER)))
+        if not magic == end == MAGIC:
+            raise ValueError(f"{uri} is no token file")
+        self.kind = f"<u{width}"
+        with system.open_input_file(f"{path.rsplit('/', 1)[0]}/{digest.hex()}.dictionary") as stored:
+            raw = stored.read()
+        if hashlib.sha256(raw).digest() != digest:
+            raise ValueError(f"{uri}: the dictionary in its folder is another one")
         self.file.seek(at)
         self.index = np.frombuffer(self.file.read(n * _INDEX.itemsize), _INDEX)
         self.press = zstandard.ZstdDecompressor(dict_data=_dictionary(raw))
@@ -199,7 +221,7 @@ class TokenFile:
         return self.ids(row)
 
 
-def read_token_files(spark: SparkSession, files: DataFrame, raw: bytes, vocabulary: int = 1 << 16, with_ids: bool = True) -> DataFrame:
+def read_token_files(spark: SparkSession, files: DataFrame, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, unless only these are wanted, ids of all documents, a task for each file."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = sorted(files.collect(), key=lambda r: r["part"])
@@ -211,7 +233,7 @@ def read_token_files(spark: SparkSession, files: DataFrame, raw: bytes, vocabula
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                file = TokenFile(path, raw, vocabulary)
+                file = TokenFile(path)
                 begin = start + np.cumsum(file.index["n_tokens"].astype(np.int64)) - file.index["n_tokens"]
                 for at in range(0, len(file.index), 500):
                     part = [file.ids(i).astype("<u4") for i in range(at, min(at + 500, len(file.index)))]
@@ -228,5 +250,5 @@ def read_token_files(spark: SparkSession, files: DataFrame, raw: bytes, vocabula
 def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, with_ids: bool = True) -> DataFrame:
     """Write the files (in the shared folder unless another is named) and read them back."""
     spark = docs.sparkSession
-    files, raw = write_token_files(docs, tokenizer_path, folder or new_path(spark, "token_files"))
-    return read_token_files(spark, files, raw, with_ids=with_ids)
+    files = write_token_files(docs, tokenizer_path, folder or new_path(spark, "token_files"))
+    return read_token_files(spark, files, with_ids=with_ids)

@@ -33,19 +33,57 @@ def test_files_hold_the_librarys_ids_in_order(spark):
 
 def test_single_document_access_and_foreign_dictionary(spark, tmp_path):
     rows = texts(7, 60)
-    files, raw = write_token_files(documents(spark, rows), PATH, f"file://{tmp_path}/ids")
+    files = write_token_files(documents(spark, rows), PATH, f"file://{tmp_path}/ids")
     want = library_ids(rows)
     found = 0
     for r in files.collect():
-        file = TokenFile(r["path"], raw)
+        file = TokenFile(r["path"])
         for entry in file.index:
             assert file.document(int(entry["doc_id"])).tolist() == want[entry["doc_id"]]
             found += 1
         with pytest.raises(KeyError):
             file.document(10**6)
-        with pytest.raises(ValueError):
-            TokenFile(r["path"], raw + b"x")
     assert found == len(rows)
+    (dictionary,) = tmp_path.glob("ids/*.dictionary")
+    dictionary.write_bytes(dictionary.read_bytes() + b"x")
+    with pytest.raises(ValueError):
+        TokenFile(files.first()["path"])
+
+
+def test_another_process_reads_the_folder_alone(spark, tmp_path):
+    import subprocess
+    import sys
+
+    rows = texts(7, 30)
+    path = write_token_files(documents(spark, rows).coalesce(1), PATH, f"file://{tmp_path}/ids").orderBy("first").first()["path"]
+    code = f"from crosspanel.llm.token_files import TokenFile; f = TokenFile({path!r}); print([f.document(int(e['doc_id'])).tolist() for e in f.index])"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    file = TokenFile(path)
+    assert eval(out) == [library_ids([rows[e["doc_id"]]])[0] for e in file.index] and len(file.index)
+
+
+def test_large_vocabularies_have_wide_ids(spark, tmp_path, monkeypatch):
+    from crosspanel.llm import token_files as tf
+
+    monkeypatch.setattr(tf, "_dtype", lambda size: "<u4")
+    rows = texts(7, 20)
+    files = write_token_files(documents(spark, rows), PATH, f"file://{tmp_path}/wide")
+    monkeypatch.undo()
+    got = {r["doc_id"]: r["ids"] for r in read_token_files(spark, files).collect()}
+    assert TokenFile(files.first()["path"]).kind == "<u4"
+    assert [got[i] for i in range(len(rows))] == library_ids(rows)
+
+
+def test_long_text_file_cuts_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    long = "plain words and 12 more, " * 100_000
+    rows = [(5, long), (6, "a"), (7, "b c")]
+    docs = documents(spark, rows).withColumn("tie", F.lit(1)).withColumn("h", F.lit("x")).withColumn("part", F.lit(2))
+    files = write_token_files(docs, PATH, f"file://{tmp_path}/long", file_bytes=1 << 20)
+    assert len(long.encode()) > 2 << 20 and files.count() >= 2
+    got = {r["doc_id"]: r["ids"] for r in read_token_files(spark, files).collect()}
+    assert [got[i] for i, _ in rows] == library_ids([t for _, t in rows])
 
 
 def test_odd_tables(spark):
