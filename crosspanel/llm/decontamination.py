@@ -7,18 +7,22 @@ that word alone; the place of the word in the window gives the one position wher
 could begin (positional bound), the ends of the text bound its length, and a rolling hash over
 the window's words and then the words themselves decide.
 
-The benchmark goes to the tasks in pieces of at most `piece_bytes` of text, whatever its size;
-each piece is matched against all texts in one pass.
+The benchmark goes to the tasks in pieces of at most about `piece_bytes` of text, whatever its size; each
+piece's windows are cut, sent, matched against all texts in one pass and dropped before the next piece is read, so that the driver and
+the workers hold one piece at a time.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no
 windows; items with equal texts are each reported; rows that repeat (same doc_id) each get
 their own row, keyed by the row and not by doc_id; items with a null item_id hit like any other but
-are left out of the list.
+are left out of the list; of equally rare words the least in byte order is the prefix, which decides no result; a text of any length is matched whole
+(one of over 2 MB is a block of its own); empty tables give no hits or an empty result; other columns, whatever their names, play no
+part and are kept by clean_documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, LOWER, U64, Block, Words, blocks, mix, words
+from .store import written
 
 WINDOW = 10
 PIECE_BYTES = 8 << 20
@@ -165,6 +170,7 @@ class _Matcher:
 
 
 def _matchers(docs: DataFrame, items: DataFrame, size: int, piece_bytes: int) -> Iterator[_Matcher]:
+    """One at a time: the caller is done with a matcher before it takes the next."""
     spark = docs.sparkSession
     for piece in _pieces(items, piece_bytes):
         win = _Windows(piece.toPandas(), size)
@@ -181,9 +187,11 @@ def _report(ids: pa.Array, n_words, n_hit, lists: list[list[str]]) -> pa.RecordB
 def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row per row of docs(doc_id, text), against items(item_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = list(_matchers(docs, items, size, piece_bytes))
-    if len(found) > 1:
-        return _hits_by_piece(slim, found)
+    pieces = _matchers(docs, items, size, piece_bytes)
+    found = [m for m in [next(pieces, None)] if m]
+    second = next(pieces, None) if found else None
+    if second:
+        return _hits_by_piece(slim, itertools.chain([*found, second], pieces))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +204,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, piece_
     return slim.mapInArrow(rows, COLUMNS)
 
 
-def _hits_by_piece(slim: DataFrame, found: list[_Matcher]) -> DataFrame:
+def _hits_by_piece(slim: DataFrame, found: Iterator[_Matcher]) -> DataFrame:
     """For a benchmark of more than one piece: a pass for each, whose hits meet by the text they are in."""
     keyed = slim.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
 
@@ -210,9 +218,13 @@ def _hits_by_piece(slim: DataFrame, found: list[_Matcher]) -> DataFrame:
                     places = [np.flatnonzero(hit[begin[i] : begin[i + 1]]).tolist() for i in docs]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first).take(pa.array(docs, pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array([sorted(of[i]) for i in docs], pa.list_(pa.string()))], names=["key", "hit", "items"])
 
-        return keyed.select("key", "text").mapInArrow(rows, "key string, hit array<long>, items array<string>").dropDuplicates(["key"])
+        out = written(keyed.select("key", "text").mapInArrow(rows, "key string, hit array<long>, items array<string>").dropDuplicates(["key"]), "piece_hits")
+        match.win.unpersist()
+        return out
 
+    # Written before the join, so that a text of very many rows can be split there.
     hits = reduce(DataFrame.union, map(hits_of, found)).groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = written(hits, "hits")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +240,9 @@ def _hits_by_piece(slim: DataFrame, found: list[_Matcher]) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The rows of docs whose text has no hit, with all their columns."""
     out = docs
-    for match in _matchers(docs, items, size, piece_bytes):
+    for k, match in enumerate(_matchers(docs, items, size, piece_bytes)):
+        if k:  # the pass before is done before this piece's begins
+            out = written(out, "clean_documents")
 
         def rows(batches: Iterator[pa.RecordBatch], match=match, text=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -82,3 +82,20 @@ def test_items_without_an_id_hit(spark):
             want = {i for i, t in enumerate(rows) if not brute(t, some)[-1]}
             assert {r["doc_id"] for r in clean_documents(documents(spark, rows), frame, piece_bytes=size).collect()} == want
     assert any(brute(t, items[-3:])[-1] for t in rows)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, "plain words here " * 150_000 + passage), (1, "short"), (2, passage.upper())]
+    items = [(7, passage)]
+    docs = documents(spark, rows)
+    for name in ("key", "hit", "items", "n_words", "item", "item_id", "contaminated"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    assert len(rows[0][1]) > 2 << 20
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"]) for r in benchmark_hits(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 1, 0), (1, 450_012, 12), (2, 12, 12)]
+    for piece in (1 << 20, 40):
+        kept = clean_documents(docs, spark.createDataFrame([*items, (8, "a b c d e f g h i j k"), (9, "z y x")], "item_id long, text string"), piece_bytes=piece)
+        assert kept.columns == docs.columns and [(r["text"], r["key"], r["item_id"]) for r in kept.collect()] == [("short", "own key", "own item_id")]
