@@ -60,4 +60,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_quality_rules, op4_quality_classifier, op5_sharding, op6_revisits, op7_repeated_spans, op8_token_files, op9_license_scan, op10_decontamination)}
-ORACLES: dict[str, str] = {"op6_revisits": revisits.ORACLE}
+ORACLES: dict[str, str] = {"op5_sharding": sharding.ORACLE, "op6_revisits": revisits.ORACLE}

@@ -14,9 +14,14 @@ is possible then, and the result is that of the merges, id for id.
 Characters outside the vocabulary become byte pieces, or the unknown piece where the model has
 none. Decoding joins the pieces, turns marks into spaces and drops the one put in front.
 
+Models are taken whose normalizer leaves texts as they are but for the marks (identity, a space in front, no
+white space taken away), as is usual for models with byte pieces; any other is refused with an error, since its ids would be
+wrong. User-defined symbols are refused likewise.
+
 Defined cases: null and empty texts have no pieces and decode to the empty text; U+2581 in a text
-is taken as a space, as the library does; repeated rows each get a row; an empty table gives an
-empty result; other columns play no part.
+is taken as a space, as the library does, so that it decodes to a space and round_trip is false; of equal scores the shorter last piece
+stays; repeated rows each get a row; a text of any length is encoded whole (one of over 2 MB is a block of its own); an empty table gives an
+empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -128,7 +133,7 @@ class Pieces:
             del last[common + 1 :], size[common + 1 :], score[common + 1 :]
             for end in range(common + 1, len(word) + 1):
                 node, at = self.backwards, end
-                best, best_size, best_score = -2 - ord(word[end - 1]), 1, score[end - 1] + worst
+                best, best_size, best_score = -2 - ord(word[end - 1]), 1, 0.0 if self.bpe else score[end - 1] + worst
                 while at:
                     node = node.get(word[at - 1])
                     if node is None:
@@ -137,7 +142,7 @@ class Pieces:
                     piece = node.get(None)
                     if piece is None:
                         continue
-                    if self.bpe:
+                    if self.bpe:  # no scores: exactly one last piece is possible
                         if at == 0 and self.pieces[piece] not in self.unreachable or at and (last[at] < 0 or self.stay_apart(last[at], piece)):
                             best, best_size = piece, end - at
                             break
@@ -145,7 +150,8 @@ class Pieces:
                         best, best_size, best_score = piece, end - at, score[at] + self.scores[piece]
                 last.append(best)
                 size.append(best_size)
-                score.append(best_score)
+                if not self.bpe:
+                    score.append(best_score)
             chars = word
             ids, at = [], len(word)
             while at:
@@ -169,11 +175,17 @@ def load(path: str) -> Pieces:
     proto = pb.ModelProto()
     with open(path, "rb") as file:
         proto.ParseFromString(file.read())
+    rules, trained = proto.normalizer_spec, proto.trainer_spec
+    as_is = rules.add_dummy_prefix and rules.escape_whitespaces and not (rules.remove_extra_whitespaces or rules.precompiled_charsmap or trained.treat_whitespace_as_suffix)
+    if not as_is or any(p.type == pb.ModelProto.SentencePiece.USER_DEFINED for p in proto.pieces):
+        raise ValueError(f"{path}: a model with this normalizer or with user-defined symbols is not supported")
+    if trained.model_type not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM):
+        raise ValueError(f"{path}: neither a BPE nor a unigram model")
     model = SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     special = [model.IsByte(i) or model.IsControl(i) or model.IsUnknown(i) or model.IsUnused(i) for i in range(n)]
     by_byte = {int(model.IdToPiece(i)[3:5], 16): i for i in range(n) if model.IsByte(i)}
-    return Pieces([model.IdToPiece(i) for i in range(n)], [model.GetScore(i) for i in range(n)], [not s for s in special], [by_byte[b] for b in range(256)] if by_byte else None, model.unk_id(), proto.trainer_spec.model_type == pb.TrainerSpec.BPE)
+    return Pieces([model.IdToPiece(i) for i in range(n)], [model.GetScore(i) for i in range(n)], [not s for s in special], [by_byte[b] for b in range(256)] if by_byte else None, model.unk_id(), trained.model_type == pb.TrainerSpec.BPE)
 
 
 class Encoder:
@@ -259,11 +271,13 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
         pieces = load(model_path)
         encode, decode = Encoder(pieces), Decoder(pieces)
         for batch in batches:
+            marks = pc.fill_null(pc.match_substring(batch.column(1), MARK), False).to_pylist()
             for block in blocks(marked(batch.column(1))):
                 ids, count = encode(block)
                 texts = decode(ids, count)
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids))
-                same = [t == block.text(i)[1:] for i, t in enumerate(texts)]
+                # Against the text as it came: marks in it are lost.
+                same = [t == block.text(i)[1:] and not had for i, (t, had) in enumerate(zip(texts, marks[block.first : block.first + block.rows], strict=True))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(count), listed, pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(same)], names=["doc_id", "n_pieces", "ids", "decoded_crc32", "round_trip"])
 
     return source.mapInArrow(rows, "doc_id long, n_pieces long, ids array<int>, decoded_crc32 long, round_trip boolean")

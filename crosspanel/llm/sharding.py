@@ -45,3 +45,12 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     first = cut.groupBy("shard").agg(F.min("index").alias("first"))  # one row for each shard
     return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same law in SQL, for eight shards; the checksum is computed from the bytes, eight steps of division for each table entry.
+ORACLE = """WITH fixed AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST(('0x' || h) AS BIGINT)) AS b FROM documents),
+sized AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM bytes, fixed),
+placed AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS place, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM sized),
+cut AS (SELECT *, CAST(least(7, (2 * upto - size) * 8 // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut"""

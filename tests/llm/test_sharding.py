@@ -38,3 +38,17 @@ def test_repeated_rows_and_few_rows(spark):
 def test_main_path_has_no_python(spark):
     plan = shard_documents(documents(spark, texts(1, 20)))._jdf.queryExecution().toString()
     assert not any(k in plan for k in ("Python", "Arrow", "Pandas"))
+
+
+def test_matches_the_sql(spark, tmp_path):
+    import duckdb
+
+    from crosspanel.llm.sharding import ORACLE
+
+    rows = [*enumerate(texts(4, 60)), (None, "a"), (None, None), (5, "again"), (5, "again")]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(f"SELECT doc_id, size, text_crc32, law, shard, slot, grown_shard FROM ({ORACLE})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in shard_documents(docs).collect())
