@@ -3,16 +3,18 @@
 Statistics of each whole text (shares of symbols, digits, capitals, repeated words and lines,
 compression and so on), standardized over all documents, are mapped by random Fourier features,
 which approximate a Gaussian kernel. Each task sums the normal equations of its labelled rows;
-the sums, of a fixed size, are added up in a few tasks and solved on the driver. The ridge scores
-of the fitted rows are counted in a fixed number of bins and calibrated by isotonic regression.
+the sums, of a fixed size, are added up in a few tasks and solved on the driver. Isotonic regression
+calibrates the ridge scores on labelled rows that the ridge has not seen (where these have one class only, on all).
+Ridge scores are bounded by the weights; they are counted at steps of STEP of that range, which bounds the table and ties scores closer than that.
 
-Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2. Neither labels nor
+Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2: the ridge from remainders 0 and 1, the calibration from 3. Neither labels nor
 lang, source or doc_id enter a score.
 
 Defined cases: null and empty texts have statistics of zeros and a score like any other; a null
 doc_id is never held out and has no label; repeated labels of a document count once, as the
-highest; rows that repeat each get a row; with no label at all every score is 1, with labels of
-one class every score is that class; an empty table gives an empty result.
+highest; rows that repeat each get a row, with equal scores; where the ridge's rows have labels of one class or none, it learns from all labelled rows; with no label at all every score is 1, with labels of
+one class every score is that class; a text of any length is measured whole (one of over 2 MB is a block of its
+own); an empty table gives an empty result; other columns, whatever their names, play no part and are kept by good_documents.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .bytewords import SPACED, Block, blocks, words
 from .quality_rules import _counts
-from .store import written
+from .store import fresh, written
 
-FEATURES, WIDTH, RIDGE, BINS, SEED, THRESHOLD = 256, 0.35, 1e-3, 2000, 11, 0.7
-_LOW, _HIGH = -0.5, 1.5  # range of the ridge scores that the bins tell apart
+FEATURES, WIDTH, RIDGE, STEP, SEED, THRESHOLD = 256, 0.35, 1e-3, 1e-6, 11, 0.7
 _BYTE = np.arange(256)
 _UPPER, _LOWERCASE, _DIGIT = (_BYTE >= 65) & (_BYTE <= 90), (_BYTE >= 97) & (_BYTE <= 122), (_BYTE >= 48) & (_BYTE <= 57)
 _PUNCT = ((_BYTE > 32) & (_BYTE < 127)) & ~_UPPER & ~_LOWERCASE & ~_DIGIT
@@ -97,17 +99,18 @@ class QualityModel:
 
 
 def statistics_table(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the statistics of every text."""
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    """doc_id, fold (crc32(doc_id as text) mod 4), held_out and the statistics of every text."""
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0)).cast("int")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
                 stats = statistics(block)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1) * stats.shape[1], pa.int32()), pa.array(stats.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(block.first, block.rows) for i in (0, 1)] + [flat], names=["doc_id", "held_out", "stats"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(block.first, block.rows) for i in (0, 1)] + [flat], names=["doc_id", "fold", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(rows, "doc_id long, held_out boolean, stats array<double>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), "text").mapInArrow(rows, "doc_id long, fold int, stats array<double>")
+    return out.select("doc_id", "fold", (F.col("fold") == 2).alias("held_out"), "stats")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -134,7 +137,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     scale = np.array([moments[f"std{i}"] or 0.0 for i in range(k)])
     blank = QualityModel(mean, np.where(scale > 1e-9, scale, 1.0), None, np.zeros(1), np.ones(1))
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    rows = stats.where("not held_out").join(known, "doc_id").select("stats", "y")
+    labelled = stats.where("fold <> 2").join(known, "doc_id").select("fold", "stats", "y")
     side = FEATURES + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,37 +158,46 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    sums = rows.mapInArrow(partial, "sums binary").repartition(4).mapInArrow(added, "sums binary").collect()  # at most four rows of fixed size
-    if not sums:
+    total = np.zeros((side + 1, side + 1))
+    for rows in (labelled.where("fold < 2"), labelled):
+        sums = rows.select("stats", "y").mapInArrow(partial, "sums binary").repartition(4).mapInArrow(added, "sums binary").collect()  # at most four rows of fixed size
+        total = sum((np.frombuffer(r["sums"]).reshape(side + 1, side + 1) for r in sums), np.zeros((side + 1, side + 1)))
+        n, positive = total[side - 1, side - 1], total[side - 1, side]
+        if 0 < positive < n:
+            break
+    if not n:
         return blank
-    total = sum(np.frombuffer(r["sums"]) for r in sums).reshape(side + 1, side + 1)
-    n, positive = total[side - 1, side - 1], total[side - 1, side]
     if positive in (0.0, n):
         return QualityModel(blank.mean, blank.scale, None, np.zeros(1), np.full(1, positive / n))
     weights = np.linalg.solve(total[:side, :side] + RIDGE * n * np.diag([1.0] * FEATURES + [0.0]) / FEATURES, total[:side, side])
     raw = QualityModel(blank.mean, blank.scale, weights, blank.knots, blank.values)
 
+    # |features| is at most sqrt(2) for the cosines and 1 for the constant, so ridge scores are within this bound.
+    bound = float(np.sqrt(2) * np.linalg.norm(weights[:FEATURES]) + abs(weights[FEATURES]))
+    step = STEP * max(bound, 1e-300)
+
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, good = np.zeros(BINS, np.int64), np.zeros(BINS)
         for batch in batches:
-            at = np.clip(((raw.ridge(_matrix(batch.column(0))) - _LOW) / (_HIGH - _LOW) * BINS).astype(int), 0, BINS - 1)
-            count += np.bincount(at, minlength=BINS)
-            good += np.bincount(at, batch.column(1).to_numpy(), minlength=BINS)
-        seen = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(count[seen]), pa.array(good[seen])], names=["bin", "n", "good"])
-
-    table = sorted(rows.mapInArrow(binned, "bin long, n long, good double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect())
-    score, value = _isotonic(np.array([_LOW + (r["bin"] + 0.5) * (_HIGH - _LOW) / BINS for r in table]), np.array([r["n"] for r in table], float), np.array([r["good"] for r in table]))
+            if batch.num_rows:
+                at, of = np.unique(np.rint(raw.ridge(_matrix(batch.column(1))) / step).astype(np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.zeros(len(at), int))), pa.array(at), pa.array(np.bincount(of)), pa.array(np.bincount(of, batch.column(2).to_numpy()))], names=["fold", "bin", "n", "good"])
+
+    counted = lambda some: some.mapInArrow(binned, "fold int, bin long, n long, good double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
+    # At most 2 / STEP rows, whatever the number of labels.
+    table = counted(labelled.where("fold = 3"))
+    if not 0 < sum(r["good"] for r in table) < sum(r["n"] for r in table):
+        table = counted(labelled)
+    score, value = _isotonic(np.array([r["bin"] for r in table]) * step, np.array([r["n"] for r in table], float), np.array([r["good"] for r in table]))
     return QualityModel(blank.mean, blank.scale, weights, score, value)
 
 
 def score_table(stats: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.scores(_matrix(batch.column(2)))
+            score = model.scores(_matrix(batch.column(2)))  # doc_id, held_out, stats
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return stats.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return stats.select("doc_id", "held_out", "stats").mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -195,13 +207,27 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with a score of the threshold or more, with all their columns."""
-    model = fit(written(statistics_table(docs), "text_statistics"), labels)
-    text = docs.columns.index("text")
+    """The rows of docs with a score of the threshold or more, with all their columns.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The statistics are written beside the rows they belong to, so that each text is measured once.
+    """
+    name, text = fresh(docs, "stats"), docs.columns.index("text")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(text)):
-                yield batch.slice(block.first, block.rows).filter(pc.greater_equal(pa.array(model.scores(statistics(block))), threshold))
+                part, stats = batch.slice(block.first, block.rows), statistics(block)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1) * stats.shape[1], pa.int32()), pa.array(stats.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat], names=[*part.schema.names, name])
+
+    measured = written(docs.mapInArrow(measure, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])), "text_statistics")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4, F.lit(0)).cast("int")
+    model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), F.col(name).alias("stats")), labels)
+    last = len(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pc.greater_equal(pa.array(model.scores(_matrix(batch.column(last)))), threshold)
+            yield pa.RecordBatch.from_arrays(batch.columns[:last], names=batch.schema.names[:last]).filter(good)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return measured.mapInArrow(keep, docs.schema)
