@@ -49,3 +49,36 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert len(kept[0]) > len(kept[1]) > 0 and len(kept[2]) > len(kept[3]) > 0
     run = sorted((r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert run == kept[4]
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, and columns named like those the operators use."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    rows, labels = corpus(40)
+    odd = [(None, rows[1][1]), (None, None), (500, None), (500, ""), (501, rows[2][1]), (501, rows[3][1]), (502, rows[5][1]), (502, rows[5][1])]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words stand in any of these texts at all"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [*rows, *odd])
+    for name in ("_row", "row", "tie", "_cleaned", "stats", "label", "node", "key", "ids", "score"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    given = [r for r in docs.collect() if r["text"]]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        got = spark.read.parquet(f"{tmp_path}/stage{k}")
+        if k < 4:
+            assert got.columns == docs.columns
+            assert all(r["_row"] == "own _row" and r["label"] == "own label" and r["stats"] == "own stats" for r in got.collect())
+        if k == 1:  # of each text one row stays; ids that come again with other texts stay apart
+            kept = [r["text"] for r in got.collect() if r["text"]]
+            assert len(kept) == len(set(kept)) and {rows[2][1], rows[3][1], rows[5][1]} <= set(kept) | ({r["text"] for r in given} - {r["text"] for r in docs.collect()})
+        docs = got
+    assert docs.count() > 20
+    empty = documents(spark, [])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0
+        empty = out if k < 4 else empty
