@@ -63,9 +63,9 @@ def row_min(x: Column) -> Column:
     return F.min(x).over(section())
 
 
-def buckets(score: Column, n: int, least: int | None = None, tie: str = "code") -> Column:
-    """1 to n by rank, ties by code; null on dates with fewer than `least` scores."""
+def buckets(score: Column, n: int, least: int | None = None, tie: str = "code", min_stocks: int = 1) -> Column:
+    """1 to n by rank, ties by code; null on dates with fewer than `least` scores (n * min_stocks unless given)."""
     known = Window.partitionBy("date", score.isNull())
     place = F.row_number().over(known.orderBy(score, tie))
     count = F.count(F.lit(1)).over(known)
-    return F.when(score.isNotNull() & (count >= (least or n)), F.greatest(F.lit(1), F.ceil((place - 1) * n / F.greatest(count - 1, F.lit(1))))).cast("int")
+    return F.when(score.isNotNull() & (count >= (least or n * min_stocks)), F.greatest(F.lit(1), F.ceil((place - 1) * n / F.greatest(count - 1, F.lit(1))))).cast("int")

@@ -62,9 +62,10 @@ def ic_retention(spark, folder):
 
 
 @query(ROWS_SQL + """, K AS (SELECT factor, ic, row_number() OVER (PARTITION BY factor ORDER BY date) <= count(*) OVER (PARTITION BY factor) // 2 AS early FROM FI WHERE ic IS NOT NULL)
-SELECT factor, round(avg(ic) FILTER (early), 6) AS early, round(avg(ic) FILTER (NOT early), 6) AS late FROM K GROUP BY factor""")
+SELECT factor, round(avg(ic) FILTER (early), 6) AS early, round(avg(ic) FILTER (NOT early), 6) AS late, round(CASE WHEN count(*) >= 8 AND abs(avg(ic) FILTER (early)) >= 1e-12 THEN abs(avg(ic) FILTER (NOT early)) / abs(avg(ic) FILTER (early)) END, 5) AS ratio FROM K GROUP BY factor""")
 def early_late(spark, folder):
-    return rounded(selection.early_late_ratio(factor_ics(spark, folder)).select("factor", "early", "late"))
+    out = selection.early_late_ratio(factor_ics(spark, folder))
+    return out.select("factor", F.round("early", 6).alias("early"), F.round("late", 6).alias("late"), F.round("ratio", 5).alias("ratio"))
 
 
 @query(STAT_SQL + """, DD AS (SELECT factor, date, month(date) <> lag(month(date)) OVER (PARTITION BY factor ORDER BY date) AS due, n, mean, icir FROM RS), SC AS (SELECT date, factor FROM DD WHERE due AND n >= 52 AND abs(mean) >= 0.015),

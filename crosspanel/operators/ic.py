@@ -37,10 +37,15 @@ def ic_stats(ics: DataFrame, *by: str) -> DataFrame:
     where a correlation within rounding of zero is none."""
     x = prepared(F.col("ic"))
     known = ics.where("ic is not null")
-    out = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("ic_mean"), F.stddev_pop(x).alias("ic_std"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("up_rate"))
+    out = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("ic_mean"), F.stddev_pop(x).alias("ic_std"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("up_rate"), F.avg((F.col("ic") < -1e-12).cast("double")).alias("down_rate"))
     sign = F.when(F.abs("ic_mean") > 1e-12, F.signum("ic_mean")).otherwise(0.0)
     ratio = F.when(F.col("ic_std") > 0, F.col("ic_mean") / F.col("ic_std")).otherwise(0.0)
-    return out.withColumns({"icir": ratio, "t_stat": ratio * F.sqrt("n"), "win_rate": F.when(sign >= 0, F.col("up_rate")).otherwise(1 - F.col("up_rate"))})
+    return out.withColumns({"icir": ratio, "t_stat": ratio * F.sqrt("n"), "win_rate": F.when(sign >= 0, F.col("up_rate")).otherwise(F.col("down_rate"))})
+
+
+def default_lags(n: Column) -> Column:
+    """floor(4 (n / 100)^(2/9)), the usual number of lags for n observations."""
+    return F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))
 
 
 def newey_west(ics: DataFrame, lags: int, by: str = "factor") -> DataFrame:

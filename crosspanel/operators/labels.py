@@ -23,10 +23,10 @@ def zscore(y: str) -> Column:
 
 
 def label_modes(panel: DataFrame, y: str, top: float = 0.4, slope: float = 0.25) -> DataFrame:
-    """cs_rank, cs_zscore, top (z of the best share, else 0) and soft (rank, flattened below the best share)."""
+    """cs_rank, cs_zscore, top (z of the best share, else 0) and soft: 0 at the edge of the best share, 1 at the top, -slope at the bottom."""
     base = panel.withColumns({"cs_rank": ordinal_rank(y), "cs_zscore": zscore(y)})
     r, edge = F.col("cs_rank"), 1 - top
-    return base.withColumns({"top_z": F.when(r >= edge, F.col("cs_zscore")).when(r.isNotNull(), 0.0), "soft_long": F.when(r >= edge, r).when(r.isNotNull(), edge - (edge - r) * slope)})
+    return base.withColumns({"top_z": F.when(r >= edge, F.col("cs_zscore")).when(r.isNotNull(), 0.0), "soft_long": F.when(r >= edge, (r - edge) / top).when(r.isNotNull(), (r - edge) / edge * slope)})
 
 
 def sample_weights(rank: Column, top: float = 0.4, bottom: float = 0.25, transition: float = 0.1, middle: float = 0.6) -> dict[str, Column]:
@@ -37,7 +37,7 @@ def sample_weights(rank: Column, top: float = 0.4, bottom: float = 0.25, transit
     return {
         "step_weight": F.when(rank >= edge, 1.0).when(rank.isNotNull(), bottom),
         "smooth_weight": F.when(rank.isNotNull(), bottom + (1 - bottom) * smooth),
-        "tail_weight": F.when(rank.isNotNull(), middle + (1 - middle) * 2 * F.abs(rank - 0.5)),
+        "tail_weight": F.when(rank.isNotNull(), middle + (1 - middle) * F.pow(2 * F.abs(rank - 0.5), F.lit(2.0))),
     }
 
 

@@ -52,23 +52,51 @@ def nav(returns: DataFrame, by: str) -> DataFrame:
     return returns.withColumn("nav", F.exp(F.sum(F.ln(1 + F.coalesce("ret", F.lit(0.0)))).over(over)))
 
 
-def risk_metrics(values: DataFrame, by: str, per_year: float) -> DataFrame:
-    """Total and annual return, volatility, Sharpe ratio, deepest drawdown and win rate of values(by, date, nav)."""
+def period_returns(values: DataFrame, by: str) -> DataFrame:
+    """ret of each step of values(by, date, nav); the first one against a value of 1."""
+    before = F.lag("nav").over(Window.partitionBy(by).orderBy("date"))
+    return values.withColumn("ret", F.col("nav") / F.coalesce(before, F.lit(1.0)) - 1)
+
+
+def risk_metrics(values: DataFrame, by: str, per_year: float, benchmark=None, risk_free: float = 0.0) -> DataFrame:
+    """Return and risk of values(by, date, nav), which hold one track for each `by`; benchmark: the value of `by` that others are held against.
+
+    Geometric annual return over the changes, deviation of changes (n - 1) by year, Sharpe and Sortino ratios (the latter over the
+    deviation of falls; 0 falls with some rise have none), deepest fall from the running peak, Calmar ratio, information
+    ratio, share of rising steps (the first counts against 1) and of steps above the benchmark.
+    """
     over = Window.partitionBy(by).orderBy("date")
-    peak = F.greatest(F.max("nav").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(1.0))
-    steps = values.select(by, "date", "nav", (F.col("nav") / F.lag("nav").over(over) - 1).alias("change"), (F.col("nav") / peak - 1).alias("drawdown"))
+    peak = F.max("nav").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = period_returns(values.where("nav is not null").select(by, "date", "nav"), by).withColumns({"change": F.col("nav") / F.lag("nav").over(over) - 1, "drawdown": F.col("nav") / peak - 1})
+    if benchmark is not None:
+        other = steps.where(F.col(by) == F.lit(benchmark)).select("date", F.col("change").alias("bench_change"), F.col("ret").alias("bench_ret"))
+        steps = steps.join(other, "date", "left")  # one row for each date
+    else:
+        steps = steps.withColumns({"bench_change": F.lit(None).cast("double"), "bench_ret": F.lit(None).cast("double")})
+    excess = F.col("change") - F.col("bench_change")
+    falls = F.when(F.col("change") < -1e-12, F.col("change"))
+    root, own = per_year**0.5, F.lit(True) if benchmark is None else F.col(by) != F.lit(benchmark)
     sums = steps.groupBy(by).agg(
-        F.count("*").alias("periods"), (F.max_by("nav", "date") - 1).alias("total_return"), (F.stddev_samp("change") * per_year**0.5).alias("volatility"),
-        (F.avg("change") * per_year).alias("mean_return"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col("change") > 1e-12).cast("double")).alias("positive_rate"),
+        F.count("change").alias("n"), F.exp(F.sum(F.ln(1 + F.when(F.col("change") > -1, F.col("change"))))).alias("growth"), (F.stddev_samp("change") * root).alias("volatility"),
+        F.count(falls).alias("n_falls"), (F.stddev_samp(falls) * root).alias("fall_deviation"), F.min("drawdown").alias("max_drawdown"),
+        (F.avg(excess) / F.when(F.stddev_samp(excess) > 0, F.stddev_samp(excess)) * root).alias("information"),
+        F.avg((F.col("ret") > 1e-12).cast("double")).alias("win_rate"), F.avg((F.col("ret") - F.coalesce("bench_ret", F.lit(0.0)) > 1e-12).cast("double")).alias("beat"),
+    )
+    annual = F.when(F.col("n") > 0, F.pow("growth", per_year / F.col("n")) - 1)
+    over_positive = lambda a, b: F.when(b > 0, a / F.when(b > 0, b))
+    return sums.select(
+        by, F.col("n").alias("periods"), annual.alias("annual_return"), "volatility", over_positive(annual - risk_free, F.col("volatility")).alias("sharpe"),
+        over_positive(annual - risk_free, F.col("fall_deviation")).alias("sortino"), F.abs("max_drawdown").alias("max_drawdown"), over_positive(annual, F.abs("max_drawdown")).alias("calmar"),
+        F.when(own & F.lit(benchmark is not None), F.col("information")).alias("information_ratio"), "win_rate", F.when(own & F.lit(benchmark is not None), F.col("beat")).alias("beat_rate"),
     )
-    annual = F.pow(1 + F.col("total_return"), per_year / F.col("periods")) - 1
-    return sums.withColumns({"annual_return": annual, "sharpe": F.when(F.col("volatility") > 0, F.col("mean_return") / F.col("volatility")), "calmar": F.when(F.col("max_drawdown") < 0, annual / -F.col("max_drawdown"))})
 
 
 def inverse_volatility(panel: DataFrame, ret: str, window: int) -> DataFrame:
-    """Weights of each date's codes in proportion to one over their trailing deviation."""
+    """Weights of each date's codes in proportion to one over their trailing deviation; equal weights on dates where no code has one."""
     inverse = panel.withColumn("sigma", ts.ts_std(F.col(ret), window)).withColumn("inv", 1 / F.when(F.col("sigma") > 1e-12, F.col("sigma")))
-    return inverse.where("inv is not null").withColumn("weight", F.col("inv") / F.sum("inv").over(cs.section()))
+    total = F.sum("inv").over(cs.section())
+    weight = F.when(total > 0, F.col("inv") / total).when(total.isNull(), 1 / F.count(F.lit(1)).over(cs.section()))
+    return inverse.withColumn("weight", weight).where("weight is not null")
 
 
 def capped_weights(weights: DataFrame, cap: float, rounds: int = 8) -> DataFrame:

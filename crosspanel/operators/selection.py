@@ -30,12 +30,12 @@ def recent_retention(ics: DataFrame, recent: int) -> DataFrame:
 
 
 def early_late_ratio(ics: DataFrame) -> DataFrame:
-    """Mean of the later half of each factor's series over the mean of the earlier half."""
+    """|mean| of the later half of each factor's series over |mean| of the earlier half; null for fewer than eight values."""
     by = Window.partitionBy("factor")
     known = ics.where("ic is not null").withColumns({"place": F.row_number().over(by.orderBy("date")), "n": F.count("*").over(by)})
     early = F.col("place") <= F.floor(F.col("n") / 2)
-    sums = known.groupBy("factor").agg(F.avg(F.when(early, F.col("ic"))).alias("early"), F.avg(F.when(~early, F.col("ic"))).alias("late"))
-    return sums.withColumn("ratio", F.col("late") / F.when(F.abs("early") > 1e-12, F.col("early")))
+    sums = known.groupBy("factor").agg(F.count("*").alias("n"), F.avg(F.when(early, F.col("ic"))).alias("early"), F.avg(F.when(~early, F.col("ic"))).alias("late"))
+    return sums.withColumn("ratio", F.when(F.col("n") >= 8, F.abs("late") / F.when(F.abs("early") >= 1e-12, F.abs("early"))))
 
 
 def ic_correlations(ics: DataFrame, least: int = 10) -> DataFrame:

@@ -316,13 +316,13 @@ def ic_joint(spark, folder):
     return rounded(ic.joint_ic_series(scored(spark, folder), "score", "fwd", 10))
 
 
-STATS_SQL = """, st AS (SELECT {by} count(*) AS n, avg(greatest(least(ic, 0.3), -0.3)) AS ic_mean, stddev_pop(greatest(least(ic, 0.3), -0.3)) AS ic_std, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS up_rate FROM {src} WHERE isfinite(ic) {group})
+STATS_SQL = """, st AS (SELECT {by} count(*) AS n, avg(greatest(least(ic, 0.3), -0.3)) AS ic_mean, stddev_pop(greatest(least(ic, 0.3), -0.3)) AS ic_std, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS up_rate, avg(CASE WHEN ic < -1e-12 THEN 1.0 ELSE 0.0 END) AS down_rate FROM {src} WHERE isfinite(ic) {group})
 SELECT {by} n, round(ic_mean, 6) AS ic_mean, round(ic_std, 6) AS ic_std, round(up_rate, 6) AS up_rate, round(CASE WHEN ic_std > 0 THEN ic_mean / ic_std ELSE 0 END, 5) AS icir, round(CASE WHEN ic_std > 0 THEN ic_mean / ic_std ELSE 0 END * sqrt(n), 4) AS t_stat,
- round(CASE WHEN abs(ic_mean) <= 1e-12 OR ic_mean > 0 THEN up_rate ELSE 1 - up_rate END, 6) AS win_rate FROM st"""
+ round(CASE WHEN ic_mean < -1e-12 THEN down_rate ELSE up_rate END, 6) AS win_rate FROM st"""
 
 
 def _stats(df):
-    return df.withColumns({n: F.round(n, d) for n, d in (("ic_mean", 6), ("ic_std", 6), ("up_rate", 6), ("icir", 5), ("t_stat", 4), ("win_rate", 6))})
+    return df.drop("down_rate").withColumns({n: F.round(n, d) for n, d in (("ic_mean", 6), ("ic_std", 6), ("up_rate", 6), ("icir", 5), ("t_stat", 4), ("win_rate", 6))})
 
 
 @query(SCORE_SQL + IC_SQL + STATS_SQL.format(by="", src="IC", group=""))
@@ -383,16 +383,16 @@ LABEL_SQL = """, lr AS (SELECT *, CASE WHEN fwd IS NOT NULL THEN (row_number() O
  CASE WHEN fwd IS NOT NULL THEN CASE WHEN stddev_pop(fwd) OVER (PARTITION BY date) > 1e-12 THEN (fwd - avg(fwd) OVER (PARTITION BY date)) / stddev_pop(fwd) OVER (PARTITION BY date) ELSE 0 END END AS z FROM S)"""
 
 
-@query(SCORE_SQL + LABEL_SQL + " SELECT code, date, round(r, 6) AS cs_rank, round(z, 6) AS cs_zscore, round(CASE WHEN r >= 1 - 0.4 THEN z WHEN r IS NOT NULL THEN 0 END, 6) AS top_z, round(CASE WHEN r >= 1 - 0.4 THEN r WHEN r IS NOT NULL THEN (1 - 0.4) - ((1 - 0.4) - r) * 0.25 END, 6) AS soft_long FROM lr")
+@query(SCORE_SQL + LABEL_SQL + " SELECT code, date, round(r, 9) AS cs_rank, round(z, 9) AS cs_zscore, round(CASE WHEN r >= 0.6 THEN z WHEN r IS NOT NULL THEN 0 END, 9) AS top_z, round(CASE WHEN r >= 0.6 THEN (r - 0.6::DOUBLE) / 0.4::DOUBLE WHEN r IS NOT NULL THEN (r - 0.6::DOUBLE) / 0.6::DOUBLE * 0.25 END, 9) AS soft_long FROM lr")
 def label_modes(spark, folder):
-    return rounded(labels.label_modes(scored(spark, folder), "fwd").select("code", "date", "cs_rank", "cs_zscore", "top_z", "soft_long"))
+    return rounded(labels.label_modes(scored(spark, folder), "fwd").select("code", "date", "cs_rank", "cs_zscore", "top_z", "soft_long"), 9)
 
 
 @query(SCORE_SQL + LABEL_SQL + """, tt AS (SELECT *, greatest(0.0, least(1.0, (r - (0.6 - 0.1)) / (2 * 0.1))) AS t FROM lr)
-SELECT code, date, CASE WHEN r >= 1 - 0.4 THEN 1.0 WHEN r IS NOT NULL THEN 0.25 END AS step_weight, round(CASE WHEN r IS NOT NULL THEN 0.25 + 0.75 * t * t * (3 - 2 * t) END, 6) AS smooth_weight, round(CASE WHEN r IS NOT NULL THEN 0.6 + 0.4 * 2 * abs(r - 0.5) END, 6) AS tail_weight FROM tt""")
+SELECT code, date, CASE WHEN r >= 1 - 0.4 THEN 1.0 WHEN r IS NOT NULL THEN 0.25 END AS step_weight, round(CASE WHEN r IS NOT NULL THEN 0.25 + 0.75 * t * t * (3 - 2 * t) END, 9) AS smooth_weight, round(CASE WHEN r IS NOT NULL THEN 0.6 + 0.4 * pow(2 * abs(r - 0.5), 2) END, 9) AS tail_weight FROM tt""")
 def sample_weights(spark, folder):
     panel = scored(spark, folder).withColumn("r", labels.ordinal_rank("fwd"))
-    return rounded(panel.select("code", "date", *[w.alias(n) for n, w in labels.sample_weights(c("r")).items()]))
+    return rounded(panel.select("code", "date", *[w.alias(n) for n, w in labels.sample_weights(c("r")).items()]), 9)
 
 
 @query(RET_SQL + f""", b AS (SELECT code, date, lead(open, 1) {CODE} AS entry, CASE WHEN count(ret) {frame_sql(20)} >= 10 THEN stddev_samp(ret) {frame_sql(20)} END AS sigma, list(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS path FROM R),
@@ -446,17 +446,20 @@ def quantile_nav(spark, folder):
     return out.select("date", "bucket", "n", F.round("ret", 6).alias("ret"), F.round("nav", 4).alias("nav"))
 
 
-@query(SCORE_SQL + B0_SQL + NAV_SQL + """, d AS (SELECT bucket, date, nav, nav / lag(nav) OVER (PARTITION BY bucket ORDER BY date) - 1 AS ch, nav / greatest(max(nav) OVER (PARTITION BY bucket ORDER BY date), 1.0) - 1 AS dd FROM N),
-rm AS (SELECT bucket, count(*) AS periods, arg_max(nav, date) - 1 AS tot, stddev_samp(ch) * sqrt(52.0) AS vol, avg(ch) * 52 AS mean, min(dd) AS mdd, avg(CASE WHEN ch > 1e-12 THEN 1.0 WHEN ch IS NOT NULL THEN 0.0 END) AS pos FROM d GROUP BY bucket)
-SELECT bucket, periods, round(vol, 5) AS volatility, round(mean, 5) AS mean_return, round(mdd, 5) AS max_drawdown, round(pos, 6) AS positive_rate, round(pow(1 + tot, 52.0 / periods) - 1, 5) AS annual_return, round(mean / vol, 4) AS sharpe, round((pow(1 + tot, 52.0 / periods) - 1) / -mdd, 4) AS calmar FROM rm""")
+@query(SCORE_SQL + B0_SQL + NAV_SQL + """, d0 AS (SELECT bucket, date, nav, nav / lag(nav) OVER w - 1 AS ch, nav / coalesce(lag(nav) OVER w, 1.0) - 1 AS ret, nav / max(nav) OVER w - 1 AS dd FROM N WINDOW w AS (PARTITION BY bucket ORDER BY date)),
+d AS (SELECT d0.*, b.ch AS bch, b.ret AS bret FROM d0 LEFT JOIN d0 b ON b.bucket = 3 AND b.date = d0.date),
+rm AS (SELECT bucket, count(ch) AS n, exp(sum(ln(1 + ch))) AS growth, stddev_samp(ch) * sqrt(52.0) AS vol, stddev_samp(ch) FILTER (ch < -1e-12) * sqrt(52.0) AS fall, -min(dd) AS mdd, avg(ch - bch) / stddev_samp(ch - bch) * sqrt(52.0) AS ir, avg(CASE WHEN ret > 1e-12 THEN 1.0 ELSE 0.0 END) AS win, avg(CASE WHEN ret - coalesce(bret, 0) > 1e-12 THEN 1.0 ELSE 0.0 END) AS beat FROM d GROUP BY bucket),
+ra AS (SELECT *, pow(growth, 52.0 / n) - 1 AS ann FROM rm)
+SELECT bucket, n AS periods, round(ann, 5) AS annual_return, round(vol, 5) AS volatility, round(ann / vol, 4) AS sharpe, round(ann / CASE WHEN fall > 0 THEN fall END, 4) AS sortino, round(mdd, 5) AS max_drawdown, round(ann / CASE WHEN mdd > 0 THEN mdd END, 4) AS calmar, round(CASE WHEN bucket <> 3 THEN ir END, 4) AS information_ratio, round(win, 6) AS win_rate, round(CASE WHEN bucket <> 3 THEN beat END, 6) AS beat_rate FROM ra""")
 def risk_metrics(spark, folder):
-    out = portfolio.risk_metrics(quantile_values(spark, folder), "bucket", 52.0)
-    digits = {"volatility": 5, "mean_return": 5, "max_drawdown": 5, "positive_rate": 6, "annual_return": 5, "sharpe": 4, "calmar": 4}
+    """Buckets held against the middle one."""
+    out = portfolio.risk_metrics(quantile_values(spark, folder), "bucket", 52.0, benchmark=3)
+    digits = {"annual_return": 5, "volatility": 5, "sharpe": 4, "sortino": 4, "max_drawdown": 5, "calmar": 4, "information_ratio": 4, "win_rate": 6, "beat_rate": 6}
     return out.select("bucket", "periods", *[F.round(n, d).alias(n) for n, d in digits.items()])
 
 
 @query(RET_SQL + f""", v AS (SELECT code, date, 1 / CASE WHEN sd > 1e-12 THEN sd END AS inv FROM (SELECT code, date, CASE WHEN count(ret) {frame_sql(20)} >= 10 THEN stddev_samp(ret) {frame_sql(20)} END AS sd FROM R))
-SELECT code, date, round(inv / sum(inv) OVER (PARTITION BY date), 6) AS weight FROM v WHERE inv IS NOT NULL""")
+SELECT * FROM (SELECT code, date, round(coalesce(inv / sum(inv) OVER (PARTITION BY date), CASE WHEN sum(inv) OVER (PARTITION BY date) IS NULL THEN 1.0 / count(*) OVER (PARTITION BY date) END), 6) AS weight FROM v) WHERE weight IS NOT NULL""")
 def inv_vol_weights(spark, folder):
     return rounded(portfolio.inverse_volatility(ret_panel(spark, folder), "ret", 20).select("code", "date", "weight"))
 
