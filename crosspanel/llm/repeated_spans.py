@@ -46,7 +46,7 @@ from pyspark.sql.types import StructType
 
 from .bytewords import SEGMENT, U64, Block, blocks, mix, powers, prefix_hashes, span_hashes
 from .column_wise import build, equal_strings
-from .store import fresh, written
+from .store import written
 
 LENGTH, ANCHOR = 100, 40
 #: Bytes of text in a bucket and in a partition; contexts of an anchor; bytes of a collection of runs.
@@ -207,14 +207,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A cut inside a character takes the rest of the character too. n_chars, where there is such a
     column, becomes the length of the new text. Null and empty texts stay as they are.
     """
-    cleaned = _cleaned(docs, "doc_id long, tie long, cleaned string", lambda doc_id, text, cuts: (doc_id, np.frombuffer(text, np.uint8)[~cuts].tobytes().decode("utf-8", "ignore")), tie=True)
-    names = [fresh(docs, n) for n in ("row", "tie", "cleaned", "bare", "null")]
-    row, tie, new_text, bare, null = names
-    renamed = cleaned.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(row), F.col("tie").alias(tie), F.col("cleaned").alias(new_text)).dropDuplicates([row, tie])
-    keyed = docs.withColumns({row: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), tie: _tie(F.col("text")), bare: F.coalesce(F.col("text") == "", F.lit(True)), null: F.col("text").isNull()}).drop("text")
-    text = F.when(~F.col(null), F.col(new_text))
-    new = {"text": text.alias("text")} | ({"n_chars": F.when(F.col(bare), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
-    return keyed.join(renamed, [row, tie]).where(F.col(bare) | (F.col(new_text) != "")).select(*[new.get(c, F.col(c)) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    bare, missing = F.coalesce(F.col("text") == "", F.lit(True)), F.col("text").isNull()
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], bare.alias("bare"), missing.alias("missing"))
+    cleaned = _cleaned(docs, "cleaned string", lambda doc_id, text, cuts: (np.frombuffer(text, np.uint8)[~cuts].tobytes().decode("utf-8", "ignore"),), rest)
+    text = F.when(~F.col("rest.missing"), F.col("cleaned"))
+    new = {c: F.col(f"rest.c{i}").alias(c) for i, c in enumerate(others)} | {"text": text.alias("text")}
+    if "n_chars" in others:
+        at = others.index("n_chars")
+        new["n_chars"] = F.when(F.col("rest.bare"), F.col(f"rest.c{at}")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cleaned.where(F.col("rest.bare") | (F.col("cleaned") != "")).select(*[new[c] for c in docs.columns])
 
 
 def _tie(text):
@@ -253,7 +255,8 @@ def _collections(anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         begin = to
 
 
-def _cleaned(docs: DataFrame, schema: str, make, tie: bool = False) -> DataFrame:
+def _cleaned(docs: DataFrame, schema: str, make, rest=None) -> DataFrame:
+    """A row of `schema` for each row of docs, by make(doc_id, text, which bytes go); `rest`, a column of docs, is carried along with the text."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), _tie(F.col("text")).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -322,17 +325,18 @@ def _cleaned(docs: DataFrame, schema: str, make, tie: bool = False) -> DataFrame
 
     of_kind = lambda blobs, kind: bucketed(blobs.where(F.col("kind") == kind)).select("bucket", "raw")
     by_anchor = written(of_kind(found, OCCURRENCE).mapInArrow(meet, _BLOBS), "by_anchor")
-    texts = source.select(_home_column(n).alias("bucket"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("raw"), "doc_id", "tie", "text")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("tie", "long"), ("text", "string"))]
 
-    def with_texts(blobs: DataFrame) -> DataFrame:
-        return bucketed(blobs.select("bucket", F.lit(0).alias("kind"), "raw", *nothing).union(texts)).select("bucket", "raw", "doc_id", "tie", "text")
+    def with_texts(blobs: DataFrame, of: DataFrame) -> DataFrame:
+        fields = of.schema.fields
+        texts = of.select(_home_column(n).alias("bucket"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("raw"), *of.columns)
+        places = blobs.select("bucket", F.lit(0).alias("kind"), "raw", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        return bucketed(places.union(texts)).select("bucket", "raw", *of.columns)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (doc_id, tie_of, at, count, anchor, hot), texts_of in _with_places(batches, "LB"):
             rows: list[tuple[int, int, bytes]] = []
             hashes, places, runs_of, bytes_of = [], [], [], []
-            for i, _, _, text in texts_of:
+            for i, _, _, text, _ in texts_of:
                 if not len(i):
                     continue
                 cold, warm = i[hot[i] == 0], i[hot[i] == 1]
@@ -366,28 +370,32 @@ def _cleaned(docs: DataFrame, schema: str, make, tie: bool = False) -> DataFrame
             if rows:
                 yield _batch(rows)
 
-    looked = written(with_texts(by_anchor.where(F.col("kind") == LOOK)).mapInArrow(look, _BLOBS), "looked")
+    looked = written(with_texts(by_anchor.where(F.col("kind") == LOOK), source).mapInArrow(look, _BLOBS), "looked")
     by_string = written(of_kind(looked, OCCURRENCE).mapInArrow(meet_strings, _BLOBS), "by_string")
     by_run = written(of_kind(looked, RUN).mapInArrow(meet_runs, _BLOBS), "by_run")
 
-    fields = to_arrow_schema(StructType.fromDDL(schema))
+    made = StructType.fromDDL(schema)
+    if rest is not None:
+        source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), _tie(F.col("text")).alias("tie"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
+        made = made.add(source.schema["rest"])
+    fields = to_arrow_schema(made)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _, at, count), texts_of in _with_places(batches, "", every=True):
             out: list[tuple] = []
-            for i, own_id, own_tie, text in texts_of:
+            for i, own_id, _, text, carried in texts_of:
                 edges = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edges, at[i], 1)
                 np.add.at(edges, at[i].astype(np.int64) + count[i] - 1 + LENGTH, -1)
                 row = make(None if own_id == NULL_ID else own_id, text, np.cumsum(edges[:-1]) > 0)
-                out.append((row[0], own_tie, *row[1:]) if tie else row)
+                out.append(row if carried is None else (*row, carried.as_py()))
                 if len(out) == 1000:
                     yield _rows(out, fields)
                     out = []
             yield _rows(out, fields)
 
     repeats = found.union(by_anchor).union(looked).union(by_string).union(by_run).where(F.col("kind") == REPEAT)
-    return written(with_texts(repeats).mapInArrow(cut, schema), "repeated_spans")
+    return with_texts(repeats, source).mapInArrow(cut, made)
 
 
 def _rows(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
@@ -396,12 +404,12 @@ def _rows(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
 
 def _with_places(batches: Iterator[pa.RecordBatch], more: str, every: bool = False):
     """For each bucket of batches (bucket, raw, doc_id, tie, text), sorted with the places before the texts: the places'
-    columns and an iterator over the texts, (rows of its places, doc_id, tie, text), each once or, for `every`, for every row.
+    columns and an iterator over the texts, (rows of its places, doc_id, tie, text, what is carried with it), each once or, for `every`, for every row.
     """
 
     def flat():
         for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), *[batch.column(k) for k in range(1, 5)], strict=True)
+            yield from zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True)
 
     for _, group in itertools.groupby(flat(), key=lambda r: r[0]):
         raws, first = [], None
@@ -439,8 +447,8 @@ def _texts(rows, doc_id: np.ndarray, tie: np.ndarray, every: bool):
         for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
             key[int(doc_id[order[a]]), int(tie[order[a]])] = order[a:b]
     none, seen = np.zeros(0, np.int64), set()
-    for _, _, own_id, own_tie, text in rows:
+    for _, _, own_id, own_tie, text, *carried in rows:
         own = own_id.as_py(), own_tie.as_py()
         if every or own in key and own not in seen:
             seen.add(own)
-            yield key.get(own, none), *own, text.as_buffer().to_pybytes()
+            yield key.get(own, none), *own, text.as_buffer().to_pybytes(), carried[0] if carried else None
