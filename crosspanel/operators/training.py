@@ -69,7 +69,7 @@ def positive_weights(value: Column, *by: str, temperature: float = 0.5) -> Colum
     """Shares of the positive values; where none is positive, the softmax of all. Null counts as 0."""
     over = Window.partitionBy(*by)
     v = F.coalesce(value, F.lit(0.0))
-    positive = F.greatest(v, F.lit(0.0))
+    positive = F.when(v > 1e-12, v).otherwise(0.0)
     total = F.sum(positive).over(over)
     soft = F.exp((v - F.max(v).over(over)) / temperature)
     return F.when(total > 0, positive / F.when(total > 0, total)).otherwise(soft / F.sum(soft).over(over))

@@ -61,7 +61,7 @@ def pool_standardise(spark, folder):
 FI = ROWS_SQL
 
 
-@query(FI + ", iv AS (SELECT factor, date, coalesce(ic, 0) AS v FROM FI), iw AS (SELECT *, sum(greatest(v, 0)) OVER (PARTITION BY date) AS t, exp((v - max(v) OVER (PARTITION BY date)) / 0.5) AS e FROM iv) SELECT factor, date, round(CASE WHEN t > 0 THEN greatest(v, 0) / t ELSE e / sum(e) OVER (PARTITION BY date) END, 6) AS weight FROM iw")
+@query(FI + ", iv AS (SELECT factor, date, coalesce(ic, 0) AS v FROM FI), iw AS (SELECT *, sum(CASE WHEN v > 1e-12 THEN v ELSE 0 END) OVER (PARTITION BY date) AS t, exp((v - max(v) OVER (PARTITION BY date)) / 0.5) AS e FROM iv) SELECT factor, date, round(CASE WHEN t > 0 THEN CASE WHEN v > 1e-12 THEN v ELSE 0 END / t ELSE e / sum(e) OVER (PARTITION BY date) END, 6) AS weight FROM iw")
 def ic_weighted_weights(spark, folder):
     return rounded(factor_ics(spark, folder).select("factor", "date", training.positive_weights(c("ic"), "date").alias("weight")))
 
