@@ -121,7 +121,12 @@ def sharpe_of_codes(spark, folder):
     return scoring.probabilistic_sharpe(scored(spark, folder), "code").select("code", "n", F.round("sharpe", 5).alias("sharpe"))
 
 
-@query()
+_TAIL = "(exp(-z * z / 2) / sqrt(2 * pi()) * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))))"
+
+
+@query(SCORE_SQL + f""", m AS (SELECT code, count(ret) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp FROM S GROUP BY code), q AS (SELECT S.code, m.n, mu / CASE WHEN sd > 1e-12 THEN sd END AS sr, avg(pow((ret - mu) / sp, 3)) AS skew, avg(pow((ret - mu) / sp, 4)) AS kurt FROM S JOIN m ON m.code = S.code WHERE ret IS NOT NULL GROUP BY S.code, m.n, mu, sd),
+u AS (SELECT code, n, sr, sr * sqrt(n - 1) / sqrt(CASE WHEN 1 - skew * sr + (kurt - 1) / 4 * sr * sr > 0 THEN 1 - skew * sr + (kurt - 1) / 4 * sr * sr END) AS zs FROM q), x AS (SELECT *, abs(zs) AS z, 1 / (1 + 0.2316419 * abs(zs)) AS k FROM u)
+SELECT code, n, round(sr, 5) AS sharpe, round(CASE WHEN zs >= 0 THEN 1 - {_TAIL} ELSE {_TAIL} END, 5) AS psr FROM x""")
 def probabilistic_sharpe(spark, folder):
     return rounded(scoring.probabilistic_sharpe(scored(spark, folder), "code"), 5)
 

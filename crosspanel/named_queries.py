@@ -64,9 +64,9 @@ _TECH = {f"bias_{w}": f"(close - {_guard('avg(close)', 'close', w, w // 2)}) / n
 }
 
 
-@query(NAMED_SQL + _picked(_TECH, 5))
+@query(NAMED_SQL + _picked(_TECH, 7))
 def factors_technical(spark, folder):
-    return rounded(factor_panel(spark, folder).select("code", "date", *[x.alias(n) for n, x in named.technical().items()]), 5)
+    return rounded(factor_panel(spark, folder).select("code", "date", *[x.alias(n) for n, x in named.technical().items()]), 7)
 
 
 def _count(x: str) -> str:

@@ -99,18 +99,23 @@ def inverse_volatility(panel: DataFrame, ret: str, window: int) -> DataFrame:
     return inverse.withColumn("weight", weight).where("weight is not null")
 
 
-def capped_weights(weights: DataFrame, cap: float, rounds: int = 8) -> DataFrame:
-    """Weights of each date with none over the cap (or an equal share, if that is more); what is cut goes to the others in proportion."""
-    over = cs.section()
-    out = weights.withColumn("limit", F.greatest(F.lit(cap), 1 / F.count(F.lit(1)).over(over)))
-    for _ in range(rounds):
-        cut = F.least("weight", "limit")
-        free = F.when(F.col("weight") < F.col("limit"), F.col("weight")).otherwise(0.0)
-        out = out.withColumns({"cut": cut, "free": free})
-        spare = 1 - F.sum("cut").over(over)
-        total = F.sum("free").over(over)
-        out = out.withColumn("weight", F.when(total > 0, F.col("cut") + F.col("free") / total * spare).otherwise(F.col("cut"))).drop("cut", "free")
-    return out.withColumn("weight", F.least("weight", "limit")).drop("limit")
+def capped_weights(weights: DataFrame, cap: float) -> DataFrame:
+    """Weights of each date (which sum to 1) with none over the cap, or over an equal share if that is more; what is cut goes to the others in proportion.
+
+    In falling order the first k codes are at the limit, where k is the least number for which the others, scaled up to what is left, stay within it: one pass, no repetition.
+    """
+    date = Window.partitionBy("date")
+    falling = date.orderBy(F.desc("weight"), "code")
+    out = weights.withColumns({
+        "_limit": F.greatest(F.lit(cap), 1 / F.count(F.lit(1)).over(date)), "_k": F.row_number().over(falling) - 1,
+        "_rest": F.sum("weight").over(date.orderBy("weight", F.desc("code")).rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    scale = F.when(F.col("_rest") > 0, (1 - F.col("_k") * F.col("_limit")) / F.when(F.col("_rest") > 0, F.col("_rest")))
+    fits = F.col("weight") * F.col("_scale") <= F.col("_limit") * (1 + 1e-12)
+    out = out.withColumn("_scale", scale).withColumn("_first", F.min(F.when(fits, F.col("_k"))).over(date))
+    chosen = F.max(F.when(F.col("_k") == F.col("_first"), F.col("_scale"))).over(date)
+    weight = F.when(F.coalesce(F.col("_k") < F.col("_first"), F.lit(True)), F.col("_limit")).otherwise(F.col("weight") * F.col("_chosen"))
+    return out.withColumn("_chosen", chosen).withColumn("weight", weight).drop("_limit", "_k", "_rest", "_scale", "_first", "_chosen")
 
 
 def constrained_track(periods: DataFrame, n: int, limit: float = 1.0) -> DataFrame:

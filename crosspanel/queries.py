@@ -464,7 +464,12 @@ def inv_vol_weights(spark, folder):
     return rounded(portfolio.inverse_volatility(ret_panel(spark, folder), "ret", 20).select("code", "date", "weight"))
 
 
-@query()
+# By repetition, unlike the operator: 60 rounds of cutting at the limit and scaling what is below it.
+@query(RET_SQL + f""", v AS (SELECT code, date, 1 / CASE WHEN sd > 1e-12 THEN sd END AS inv FROM (SELECT code, date, CASE WHEN count(ret) {frame_sql(20)} >= 10 THEN stddev_samp(ret) {frame_sql(20)} END AS sd FROM R)),
+w AS (SELECT * FROM (SELECT code, date, coalesce(inv / sum(inv) OVER (PARTITION BY date), CASE WHEN sum(inv) OVER (PARTITION BY date) IS NULL THEN 1.0 / count(*) OVER (PARTITION BY date) END) AS w FROM v) WHERE w IS NOT NULL),
+m AS (SELECT *, greatest(0.02, 1.0 / count(*) OVER (PARTITION BY date)) AS lim FROM w), lists AS (SELECT date, any_value(lim) AS lim, list(w ORDER BY code) AS ws, list(code ORDER BY code) AS cs FROM m GROUP BY date),
+done AS (SELECT date, cs, list_reduce(list_prepend(ws, list_transform(range(60), lambda i: [lim])), lambda ws, l: list_transform(ws, lambda x: CASE WHEN x >= l[1] THEN l[1] ELSE x * (1 - l[1] * len(list_filter(ws, lambda y: y >= l[1]))) / list_sum(list_filter(ws, lambda y: y < l[1])) END)) AS ws FROM lists)
+SELECT unnest(cs) AS code, date, round(unnest(ws), 6) AS weight FROM done""")
 def capped_weights(spark, folder):
     return rounded(portfolio.capped_weights(portfolio.inverse_volatility(ret_panel(spark, folder), "ret", 20).select("code", "date", "weight"), 0.02))
 
