@@ -417,7 +417,11 @@ def gram_schmidt(spark, folder):
     return out.select("code", "date", F.round("size_orth", 6).alias("size_orth"), F.round("score_orth", 5).alias("score_orth"))
 
 
-@query()
+# The SQL takes the industry out by weighted means and then the size by one slope, instead of solving for all at once.
+@query(SCORE_SQL + """, wk AS (SELECT date, code, coalesce(CAST(sector AS VARCHAR), 'none') AS grp, score AS y, coalesce(ln(amount), 0) AS x, amount AS w FROM S WHERE score IS NOT NULL),
+wd AS (SELECT *, y - sum(w * y) OVER g / sum(w) OVER g AS yt, x - sum(w * x) OVER g / sum(w) OVER g AS xt, count(*) OVER (PARTITION BY date) AS n FROM wk WINDOW g AS (PARTITION BY date, grp)),
+wb AS (SELECT *, sum(w * xt * yt) OVER (PARTITION BY date) / nullif(sum(w * xt * xt) OVER (PARTITION BY date), 0) AS beta FROM wd)
+SELECT S.date, S.code, round(CASE WHEN n >= 10 THEN yt - coalesce(beta, 0) * xt END, 6) AS score_res FROM S LEFT JOIN wb ON wb.date = S.date AND wb.code = S.code""")
 def wls_residual(spark, folder):
     panel = scored(spark, folder).withColumn("size", F.ln("amount"))
     return rounded(neutralize.wls_residuals(panel, ["score"], ["size"], "sector", "amount", 10))
