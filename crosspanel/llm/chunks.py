@@ -26,9 +26,12 @@ def cut_spans(block: Block, cut: np.ndarray, kept: np.ndarray | None = None) ->
 
 
 class ChunkCode:
-    """encode: takes a list of distinct chunks (bytes), returns all their ids in one array and how many each has."""
+    """encode: takes a list of distinct chunks (bytes), returns all their ids in one array and how many each has.
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 20):
+    limit: bytes that the table of known chunks may have before a block adds its own; chunks themselves aren't held.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 48 << 20):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -38,7 +41,7 @@ class ChunkCode:
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the chunks in a row, and how many each has."""
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:  # bounded memory: forget and begin again
+        if 24 * (len(self.keys) + len(keys)) + 4 * len(self.ids) > self.limit:  # bounded memory: forget and begin again
             self._clear()
         if len(self.keys):
             slot = np.searchsorted(self.keys, keys)
