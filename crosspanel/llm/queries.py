@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, filter_audit, license_scan, near_duplicates, quality_classifier, quality_rules, repeated_spans, revisits, sentencepieces, sharding, token_files
+from . import byte_bpe, decontamination, filter_audit, hard_negatives, license_scan, near_duplicates, quality_classifier, quality_rules, repeated_spans, revisits, sentencepieces, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +63,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_quality_rules, op4_quality_classifier, op5_sharding, op6_revisits, op7_repeated_spans, op8_token_files, op9_license_scan, op10_decontamination, op11_filter_audit, op13_byte_bpe)}
-ORACLES: dict[str, str] = {"op5_sharding": sharding.ORACLE, "op6_revisits": revisits.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_quality_rules, op4_quality_classifier, op5_sharding, op6_revisits, op7_repeated_spans, op8_token_files, op9_license_scan, op10_decontamination, op11_filter_audit, op12_hard_negatives, op13_byte_bpe)}
+ORACLES: dict[str, str] = {"op5_sharding": sharding.ORACLE, "op6_revisits": revisits.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
