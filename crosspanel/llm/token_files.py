@@ -6,7 +6,7 @@ each document, the index (doc_id, offset, frame bytes, ids; 24 bytes a document)
 index's offset, the number of documents and the magic again. A reader needs the folder only: it gets at one short document
 by the footer, a search of the index and one frame. Ids are serialized as little-endian
 integers. The dictionary serves short documents, so it is trained on the serialized ids of at
-most SAMPLE whole documents of up to SAMPLE_CHARS characters, the ones with the smallest hashes; it
+about SAMPLE whole documents of up to SAMPLE_CHARS characters, those with hashes below a threshold from their number; it
 affects the size of the files only.
 
 A file has about FILE_BYTES of text, whatever the table's size. A task writes under a name of its own and reports the file in its output; a task that is run
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import Block, blocks
@@ -43,16 +43,19 @@ _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("n_t
 _HEADER, _FOOTER = "<8sB32s", "<QQ8s"
 _BYTE = np.arange(256)
 _SPACE = np.isin(_BYTE, [9, 10, 13, 32])
-_LETTER = (_BYTE >= 0x80) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
+_ASCII_LETTER = ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
+#: First bytes of U+00C0 to U+027F and of U+0400 to U+047F: letters but for the two signs below; U+0130 becomes a letter and a mark.
+_TWO_BYTES = ((_BYTE >= 0xC3) & (_BYTE <= 0xC9)) | (_BYTE == 0xD0) | (_BYTE == 0xD1)
+_NOT_LETTERS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, which is given each distinct chunk once.
 
-    A text is cut at ASCII white space, which the tokenizer drops, and between a letter (or any
-    character outside ASCII) and a following ASCII character that is neither letter nor white
-    space: no token, normalization or contraction reaches over these. Texts with the start of a
-    special token are given to the library whole.
+    A text is cut at ASCII white space, which the tokenizer drops, and between a letter (of ASCII or of
+    a few blocks of letters; marks, digits and signs outside ASCII aren't told from letters by a byte, so there is no cut behind them) and a
+    following ASCII character that is neither letter nor white space: no token, normalization or contraction reaches
+    over these. Texts with the start of a special token are given to the library whole.
     """
 
     def __init__(self, path: str):
@@ -79,8 +82,13 @@ class WordEncoder:
     def __call__(self, block: Block) -> list[np.ndarray]:
         data = block.data
         cut = _SPACE[data]
-        after = _LETTER[data[:-1]] & ~_LETTER[data[1:]]
-        cut[1:] |= after | _SPACE[data[:-1]]
+        letter = _ASCII_LETTER[data]
+        if len(data) > 1:
+            two = _TWO_BYTES[data[:-1]]
+            for sign in _NOT_LETTERS:
+                two &= (data[:-1] != sign[0]) | (data[1:] != sign[1])
+            letter[1:] |= two
+        cut[1:] |= (letter[:-1] & (data[1:] < 0x80) & ~_ASCII_LETTER[data[1:]]) | _SPACE[data[:-1]]
         doc, starts, ends, hashes = cut_spans(block, cut, ~_SPACE[data])
         ids, times = self.code(data, starts, ends, hashes)
         end = np.cumsum(np.bincount(doc, times, minlength=block.rows)).astype(np.int64)
@@ -107,15 +115,21 @@ def _dtype(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -> bytes:
-    """A dictionary from the serialized ids of a bounded sample; b"" where there is too little to learn from."""
+def _short() -> Column:
+    return F.length("text").between(1, SAMPLE_CHARS)
+
+
+def train_dictionary(docs: DataFrame, tokenizer_path: str, n_short: int, sample: int = SAMPLE) -> bytes:
+    """A dictionary from the serialized ids of a bounded sample of n_short short documents; b"" where there is too little to learn from.
+
+    A document is in the sample if its hash is below the share that the sample has of all, so no task sorts or gathers hashes.
+    """
     import zstandard
 
-    hashed = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    smallest = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes only, so that no task sends texts that lose
-    if smallest is None:
+    if not n_short:
         return b""
-    rows = hashed.where(F.col("h") <= smallest).select("text").limit(2 * sample).collect()
+    most = min(2**63 - 1, -(2**63) + 2**64 * sample // n_short)
+    rows = docs.where(_short() & (F.xxhash64("doc_id", "text") <= most)).select("text").limit(2 * sample).collect()
     encoder = WordEncoder(tokenizer_path)
     samples = [ids.astype(_dtype(encoder.size)).tobytes() for block in blocks(pa.array([r["text"] for r in rows], pa.string())) for ids in encoder(block)]
     try:
@@ -143,9 +157,9 @@ def _store_dictionary(folder: str, raw: bytes) -> bytes:
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write docs(doc_id, text) in ascending doc_id order; one row for each file (path, first, n_docs, n_tokens, part)."""
     spark = docs.sparkSession
-    raw = train_dictionary(docs, tokenizer_path)
+    total, n_short = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(_short())).first()
+    raw = train_dictionary(docs, tokenizer_path, n_short)
     digest = _store_dictionary(folder, raw)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = slim.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

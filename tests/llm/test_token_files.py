@@ -11,7 +11,7 @@ from .common import documents, texts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["don't ''tis I'LL x'sabc 'S", "a<|endoftext|>b <|startoftext|>", "H̱ ≮ é É  x  　 y", "İstanbul ΣΑΣ ﬁ ½ 12ab3", "a\x1cb\x85c\x0bd\x0ce", "﻿x…y—z", "𝕏 👩‍👩‍👧 漢字かな", "A<b>C</b>|d|<", "'", "!!!'t'"]
+ODD = ["don't ''tis I'LL x'sabc 'S", "a<|endoftext|>b <|startoftext|>", "H̱ ≮ é É  x  　 y", "İstanbul ΣΑΣ ﬁ ½ 12ab3", "a\x1cb\x85c\x0bd\x0ce", "﻿x…y—z", "𝕏 👩‍👩‍👧 漢字かな", "A<b>C</b>|d|<", "'", "!!!'t'", "wait…! “so”. a—'s 5€! ½. ٣. ×! ÷- ©, İ! İ's é. ж! ж's ǅ-a", "x’'s ’. ​! ̇! é! é̇! ́. 〉, 〈< ª. ʰ' ²! ⅷ."]
 
 
 def library_ids(texts):
@@ -92,6 +92,23 @@ def test_odd_tables(spark):
     assert [(r["doc_id"], r["n_tokens"], r["start"]) for r in got] == [(None, 1, 0), (3, 1, 1), (4, 2, 2), (4, 2, 4)]
 
 
+def test_random_strings_of_signs_letters_digits_and_spaces():
+    import random
+
+    import pyarrow as pa
+
+    from crosspanel.llm.bytewords import blocks
+
+    rng = random.Random(9)
+    points = [*range(0x20, 0x7F), *range(0xA0, 0x180), *range(0x2000, 0x2070), *range(0x20A0, 0x20C1), *range(0x300, 0x330), *range(0x660, 0x66A), *range(0x2150, 0x2160), *range(0x400, 0x490), *range(0x3000, 0x3010), 0x1680, 0x85, 9, 10, 11, 12, 13, 0x1C, 0x1F600, 0xFEFF]
+    marks = "!.,'’…“”—€ sS\"-<>&# İ"
+    rows = ["".join(chr(rng.choice(points)) if rng.random() < 0.5 else rng.choice(marks) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    encoder = WordEncoder(PATH)
+    got = [ids.tolist() for block in blocks(pa.array(rows), 50_000) for ids in encoder(block)]
+    wrong = [(r, g, w[:-1]) for r, g, w in zip(rows, got, library_ids(rows), strict=True) if g != w[:-1]]
+    assert not wrong, wrong[:3]
+
+
 def test_forgetting_the_cache_changes_nothing():
     import pyarrow as pa
 
