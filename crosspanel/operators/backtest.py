@@ -25,7 +25,7 @@ def daily_returns(panel: DataFrame, holdings: DataFrame, periods: DataFrame) ->
 
     panel(code, date, open, close, volume, no_sale): no_sale marks dates on which the code can't be sold. holdings(period, code, stuck): stuck
     codes couldn't be sold at execution; they leave at the close of the first later date on which they can be. On the day of execution a code
-    earns from its open (from the close before it, where there is no open) to the close, then from close to close; after a suspension from the last close inside the period. Suspended
+    earns from its open to the close, or nothing if it has none (in a panel without a column open, from the close before it to the close); then from close to close; after a suspension from the last close inside the period. Suspended
     days earn nothing.
     """
     panel = panel.withColumn("close_before", F.lag("close").over(ts.whole()))
@@ -35,7 +35,7 @@ def daily_returns(panel: DataFrame, holdings: DataFrame, periods: DataFrame) ->
     rows = rows.withColumns({"suspended": suspended, "first_day": F.col("date") == F.col("executed"), "last_close": F.last("close", ignorenulls=True).over(path.rowsBetween(Window.unboundedPreceding, -1))})
     sellable = F.col("stuck") & ~F.col("first_day") & ~F.col("suspended") & ~F.coalesce("no_sale", F.lit(False))
     rows = rows.withColumn("exit_date", F.min(F.when(sellable, F.col("date"))).over(Window.partitionBy("period", "code")))
-    base = F.when(F.col("first_day"), F.coalesce("open", "close_before")).otherwise(F.col("last_close"))
+    base = F.when(F.col("first_day"), F.col("open" if "open" in panel.columns else "close_before")).otherwise(F.col("last_close"))
     earned = F.when((base > 0) & F.col("close").isNotNull() & ~F.col("suspended"), F.col("close") / F.when(base > 0, base) - 1)
     after_exit = F.coalesce(F.col("date") > F.col("exit_date"), F.lit(False))
     rows = rows.withColumn("ret", F.when(after_exit, 0.0).otherwise(F.coalesce(earned, F.lit(0.0))))

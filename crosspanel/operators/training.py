@@ -28,10 +28,17 @@ def embargo_periods(hold_days: int, dates: DataFrame, sample: int = 20) -> DataF
     return gaps.agg(F.greatest(F.lit(1), F.ceil(hold_days / F.percentile("gap", F.lit(0.5)))).cast("int").alias("periods"))
 
 
-def overlap_weights(dates: DataFrame, hold_days: int, floor: float = 0.1) -> DataFrame:
-    """weight of each date's samples: the share of its label's days that the next date's label doesn't cover, at least `floor`; 1 for the last."""
-    gap = F.datediff(F.lead("date").over(Window.orderBy("date")), "date")
-    return dates.select("date", F.greatest(F.lit(floor), 1 - F.coalesce(F.greatest(hold_days - gap, F.lit(0)) / hold_days, F.lit(0.0))).alias("weight"))
+def overlap_weights(dates: DataFrame, hold_days: int, next_date: Column | None = None, floor: float = 0.1, share: float = 0.5) -> DataFrame:
+    """weight of each date's samples: 1 less `share` of the part of its label's days that the next date's label covers, at least `floor`.
+
+    next_date: the date to predict, which the last date's label may overlap with; without it the last date has weight 1. All have 1 without a hold period.
+    """
+    if hold_days <= 0:
+        return dates.select("date", F.lit(1.0).alias("weight"))
+    following = F.lead("date").over(Window.orderBy("date"))
+    gap = F.datediff(following if next_date is None else F.coalesce(following, next_date), "date")
+    overlap = F.coalesce(F.greatest(hold_days - gap, F.lit(0)) / hold_days, F.lit(0.0))
+    return dates.select("date", F.greatest(F.lit(floor), 1 - share * overlap).alias("weight"))
 
 
 def universe_weights(panel: DataFrame, weight: str) -> DataFrame:
@@ -112,6 +119,13 @@ def deflated_benchmark(trials: int, n: Column) -> Column:
     return F.sqrt(2 * log / (n - 1)) * (1 - 0.5772156649015329 / (2 * log))
 
 
+def overfitting_probability(chosen: DataFrame, edge: float = 1e-6) -> DataFrame:
+    """One row from `overfitting`: the share of trials that are overfit, its logit (the share held off 0 and 1), and the number of trials; shares are null without any."""
+    share = F.avg(F.col("overfit").cast("double"))
+    held = F.least(F.greatest(share, F.lit(edge)), F.lit(1 - edge))
+    return chosen.agg(F.count("*").alias("trials"), share.alias("pbo"), F.when(share.isNotNull(), F.ln(held / (1 - held))).alias("logit_pbo"))
+
+
 def overfitting(trials: DataFrame) -> DataFrame:
     """Per trial the best strategy within the sample (ties by name) and its rank outside, over the number of strategies plus one; overfit at one half or less.
 

@@ -31,13 +31,19 @@ def small_cap(cap: Column, amount: Column, lower: float, upper: float, least_amo
     return conjunction(cap.between(lower, upper), liquidity(amount, window) >= least_amount)
 
 
-#: Named size bands in currency, (lower, upper); no lower bound stands for the floor of shells.
-BANDS = {"micro": (None, 5e9), "small": (5e9, 1e10), "mid": (1e10, 3e10), "large": (3e10, 1e13)}
+#: Named size bands in currency, (lower, upper); "all" has no bounds and takes every code.
+BANDS = {
+    "all": (None, None), "small": (30e8, 150e8), "small_mid": (50e8, 300e8), "mid": (100e8, 500e8), "micro": (8e8, 30e8),
+    "small_mid_wide": (20e8, 500e8), "micro_small_100": (0.0, 100e8), "micro_30": (0.0, 30e8), "micro_lt30": (0.0, 30e8),
+}
 SHELL_FLOOR = 8e8
 
 
 def cap_band(name: str, cap: Column, amount: Column, least_amount: float) -> Column:
+    """The band and enough trading; "all" is no restriction at all."""
     low, high = BANDS[name]
+    if low is None and high is None:
+        return F.lit(True)
     return small_cap(cap, amount, SHELL_FLOOR if low is None else low, high, least_amount)
 
 

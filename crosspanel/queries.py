@@ -134,18 +134,10 @@ def scd2_asof(spark, folder):
     return asof.segment_as_of(weekly_panel(spark, folder).select("code", "date"), yearly_segments(spark, folder), ["sw_l1", "sw_l2"])
 
 
-@query(""", iv AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS start_date, CASE WHEN l_linenumber < 3 THEN CAST(l_shipdate + to_days(CAST(7 * l_linenumber AS INTEGER)) AS DATE) END AS end_date FROM lineitem WHERE l_quantity = 50 AND l_linenumber < 4 AND (l_linenumber < 3 OR l_shipdate >= TIMESTAMP '2001-06-01')),
-hit AS (SELECT DISTINCT P.code, P.date FROM P JOIN iv ON iv.code = P.code AND date >= start_date AND (end_date IS NULL OR date <= end_date))
+@query(""", ln AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS start_date, CAST(l_linenumber AS INTEGER) AS weeks FROM lineitem), lm AS (SELECT code, max(start_date) AS last FROM ln GROUP BY code),
+iv AS (SELECT ln.code, start_date, max(CASE WHEN start_date < last THEN start_date + 7 * weeks ELSE DATE '9999-12-31' END) AS end_date FROM ln JOIN lm ON lm.code = ln.code GROUP BY 1, 2), hit AS (SELECT DISTINCT P.code, P.date FROM P JOIN iv ON iv.code = P.code AND date BETWEEN start_date AND end_date)
 SELECT P.code, P.date, hit.code IS NOT NULL AS flagged FROM P LEFT JOIN hit ON hit.code = P.code AND hit.date = P.date""")
 def interval_flag(spark, folder):
-    lines = table(spark, folder, "lineitem").where("l_quantity = 50 and l_linenumber < 4 and (l_linenumber < 3 or l_shipdate >= timestamp'2001-06-01')")
-    end = F.when(c("l_linenumber") < 3, F.date_add(c("l_shipdate").cast("date"), 7 * c("l_linenumber")))
-    intervals = lines.select(F.lpad(c("l_suppkey").cast("string"), 6, "0").alias("code"), c("l_shipdate").cast("date").alias("start_date"), end.alias("end_date"))
-    return asof.interval_flag(weekly_panel(spark, folder).select("code", "date"), intervals, "flagged")
-
-
-@query()
-def interval_flag_all_lines(spark, folder):
     """An interval from every line, of a week for each line number; the code's latest lines are still in force."""
     lines = table(spark, folder, "lineitem").select(F.lpad(c("l_suppkey").cast("string"), 6, "0").alias("code"), c("l_shipdate").cast("date").alias("start_date"), c("l_linenumber").cast("int").alias("weeks"))
     last = lines.groupBy("code").agg(F.max("start_date").alias("last"))
@@ -511,20 +503,10 @@ def events_window_agg(spark, folder):
     return windows.hourly(table(spark, folder, "events"))
 
 
-@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT u.user_id, s.date FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 3 DAY)) AS DATE) AS date) s)
-SELECT CAST(g.user_id AS VARCHAR) AS code, g.date, n, round(v, 6) AS v FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.date = g.date""")
-def event_grid(spark, folder):
-    daily = table(spark, folder, "events").select(c("user_id").cast("string").alias("code"), c("ts").cast("date").alias("date"), "value")
-    dates = F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-30', interval 3 days)")).alias("date")
-    grid = daily.select("code").distinct().select("code", dates)
-    counted = asof.events_on_grid(grid, daily, F.count("*"), "n")
-    return asof.events_on_grid(counted, daily, F.round(F.sum("value"), 6), "v")
-
-
 @query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS date, value FROM events), s AS (SELECT CAST(unnest(generate_series(min(date), max(date) + INTERVAL 2 DAY, INTERVAL 3 DAY)) AS DATE) AS date FROM e),
 g AS (SELECT u.user_id, s.date FROM (SELECT DISTINCT user_id FROM e) u CROSS JOIN s), d AS (SELECT user_id, s.date, count(*) AS n, sum(value) AS v FROM e JOIN s ON e.date <= s.date AND e.date > s.date - 3 GROUP BY 1, 2)
 SELECT CAST(g.user_id AS VARCHAR) AS code, g.date, n, round(v, 6) AS v FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.date = g.date""")
-def event_grid_rolled(spark, folder):
+def event_grid(spark, folder):
     """Every event, on the grid date of its day or the next one; the grid spans the table's days."""
     daily = table(spark, folder, "events").select(c("user_id").cast("string").alias("code"), c("ts").cast("date").alias("date"), "value")
     span = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))

@@ -17,7 +17,7 @@ pk AS (SELECT S.date AS period, code, row_number() OVER (PARTITION BY S.date ORD
 px AS (SELECT code, date, open, close, volume, lag(close) {CODE} AS cb, coalesce(close < 0.9::DOUBLE * lag(close) {CODE}, false) AS no_sale FROM P),
 hd AS (SELECT pk.period, pk.code, coalesce(px.no_sale, false) AS stuck FROM pk JOIN (SELECT DISTINCT period, executed FROM pr) e ON e.period = pk.period LEFT JOIN px ON px.code = pk.code AND px.date = e.executed WHERE r <= 10),
 h0 AS (SELECT hd.period, hd.code, stuck, px.date, executed, open, close, cb, no_sale, NOT coalesce(close > 0 AND volume > 0, false) AS suspended, px.date = executed AS fd, last_value(close IGNORE NULLS) OVER (PARTITION BY hd.period, hd.code ORDER BY px.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lc FROM px JOIN pr ON pr.date = px.date JOIN hd ON hd.period = pr.period AND hd.code = px.code),
-h1 AS (SELECT *, min(CASE WHEN stuck AND NOT fd AND NOT suspended AND NOT no_sale THEN date END) OVER (PARTITION BY period, code) AS exit_date, CASE WHEN fd THEN coalesce(open, cb) ELSE lc END AS base FROM h0),
+h1 AS (SELECT *, min(CASE WHEN stuck AND NOT fd AND NOT suspended AND NOT no_sale THEN date END) OVER (PARTITION BY period, code) AS exit_date, CASE WHEN fd THEN open ELSE lc END AS base FROM h0),
 h2 AS (SELECT *, CASE WHEN coalesce(date > exit_date, false) THEN 0 ELSE coalesce(CASE WHEN base > 0 AND close IS NOT NULL AND NOT suspended THEN close / base - 1 END, 0) END AS ret FROM h1),
 HP AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY period, code ORDER BY date)) AS nav FROM h2),
 HV AS (SELECT period, date, avg(nav) * (1 - 0.001::DOUBLE) AS nav, count(*) AS held FROM HP GROUP BY period, date)"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import crosssection as cs
 from .functions import timeseries as ts
-from .model_queries import ROWS_SQL, factor_ics
-from .operators import training
+from .model_queries import _TAIL, ROWS_SQL, factor_ics
+from .operators import scoring, training
 from .queries import CODE, RET_SQL, SCORE_SQL, c, frame_sql, query, ret_panel, rounded, scored
 from .sources.panel import weekly_panel
 
@@ -29,9 +29,13 @@ def embargo_width(spark, folder):
     return training.embargo_periods(45, months(spark, folder))
 
 
-@query(MONTHS + " SELECT date, round(greatest(0.1, 1 - coalesce(greatest(40 - (lead(date) OVER (ORDER BY date) - date), 0) / 40, 0)), 6) AS weight FROM M")
+@query(MONTHS + ", o AS (SELECT date, date + 1 AS a, date + 40 AS b, coalesce(lead(date) OVER (ORDER BY date), (SELECT max(date) FROM P) + 21) AS nx FROM M) SELECT date, round(greatest(0.1, 1 - 0.5 * greatest(0, least(b, nx + 40) - greatest(a, nx + 1) + 1) / 40), 6) AS weight FROM o")
 def overlap_weights(spark, folder):
-    return rounded(training.overlap_weights(months(spark, folder), 40))
+    """Labels of 40 days; the date to predict is 21 days after the last."""
+    last = weekly_panel(spark, folder).agg(F.max("date").alias("last"))
+    dates = months(spark, folder).crossJoin(F.broadcast(last))  # one row
+    weights = training.overlap_weights(dates, 40, F.date_add("last", 21))
+    return rounded(weights)
 
 
 @query(SCORE_SQL + ", k AS (SELECT code, date, volume FROM S WHERE fwd IS NOT NULL), n AS (SELECT date, count(*) AS n FROM k GROUP BY date) SELECT code, k.date, round(volume * n / (SELECT max(n) FROM n), 6) AS weight FROM k JOIN n ON n.date = k.date")
@@ -88,23 +92,36 @@ def drift_flags(spark, folder):
 TRIAL_SQL = RET_SQL + ", t AS (SELECT code AS strategy, year(date) AS trial, avg(ret) FILTER (month(date) % 2 = 1) / nullif(stddev_samp(ret) FILTER (month(date) % 2 = 1), 0) AS ins, avg(ret) FILTER (month(date) % 2 = 0) / nullif(stddev_samp(ret) FILTER (month(date) % 2 = 0), 0) AS oos FROM R GROUP BY 1, 2)"
 
 
-@query(TRIAL_SQL + ", k AS (SELECT *, count(*) OVER (PARTITION BY trial) AS n, count(CASE WHEN ins IS NOT NULL AND oos IS NOT NULL THEN 1 END) OVER (PARTITION BY trial) AS known, row_number() OVER (PARTITION BY trial ORDER BY oos NULLS LAST, strategy) AS r FROM t), b AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY CASE WHEN ins IS NOT NULL AND oos IS NOT NULL THEN ins END DESC NULLS LAST, strategy) AS best FROM k WHERE known >= 2) SELECT trial, strategy, round(r / (n + 1), 6) AS relative_rank, r / (n + 1) <= 0.5 AS overfit FROM b WHERE best = 1")
-def backtest_overfitting(spark, folder):
-    """Each code is a strategy, each year a trial: odd months inside, even months outside."""
+TRIALS_CHOSEN_SQL = TRIAL_SQL + ", k AS (SELECT *, count(*) OVER (PARTITION BY trial) AS n, count(CASE WHEN ins IS NOT NULL AND oos IS NOT NULL THEN 1 END) OVER (PARTITION BY trial) AS known, row_number() OVER (PARTITION BY trial ORDER BY oos NULLS LAST, strategy) AS r FROM t), b AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY CASE WHEN ins IS NOT NULL AND oos IS NOT NULL THEN ins END DESC NULLS LAST, strategy) AS best FROM k WHERE known >= 2), ch AS (SELECT trial, strategy, r / (n + 1) AS relative_rank, r / (n + 1) <= 0.5 AS overfit FROM b WHERE best = 1)"
+
+
+def _trials(spark, folder):
     odd = F.month("date") % 2 == 1
     ratio = lambda side: F.avg(F.when(side, c("ret"))) / F.when(F.stddev_samp(F.when(side, c("ret"))) != 0, F.stddev_samp(F.when(side, c("ret"))))
     trials = ret_panel(spark, folder).groupBy(c("code").alias("strategy"), F.year("date").cast("long").alias("trial")).agg(ratio(odd).alias("inside"), ratio(~odd).alias("outside"))
-    return rounded(training.overfitting(trials))
+    return training.overfitting(trials)
+
+
+@query(TRIALS_CHOSEN_SQL + " SELECT trial, strategy, round(relative_rank, 6) AS relative_rank, overfit FROM ch")
+def backtest_overfitting(spark, folder):
+    """Each code is a strategy, each year a trial: odd months inside, even months outside."""
+    return rounded(_trials(spark, folder))
+
+
+@query(TRIALS_CHOSEN_SQL + ", q AS (SELECT count(*) AS trials, avg(CASE WHEN overfit THEN 1.0 ELSE 0.0 END) AS pbo FROM ch) SELECT trials, round(pbo, 6) AS pbo, round(ln(least(greatest(pbo, 1e-6), 1 - 1e-6) / (1 - least(greatest(pbo, 1e-6), 1 - 1e-6))), 6) AS logit_pbo FROM q")
+def overfitting_probability(spark, folder):
+    return rounded(training.overfitting_probability(_trials(spark, folder)))
 
 
 @query(RET_SQL + """, m AS (SELECT code, count(ret) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp FROM R GROUP BY code), mm AS (SELECT R.code, m.n, mu / sd AS sr, avg(pow((ret - mu) / sp, 3)) AS skew, avg(pow((ret - mu) / sp, 4)) AS kurt FROM R JOIN m ON m.code = R.code WHERE ret IS NOT NULL AND sp > 1e-12 GROUP BY R.code, m.n, mu, sd)
-SELECT code, n, round(sr, 6) AS sharpe, round((sr - sqrt(2 * ln(20) / (n - 1)) * (1 - 0.5772156649015329 / (2 * ln(20)))) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)), 5) AS deflated_z FROM mm WHERE n >= 2""")
+, dz AS (SELECT code, n, sr, (sr - greatest(0.01, sqrt(2 * ln(20) / (n - 1)) * (1 - 0.5772156649015329 / (2 * ln(20))))) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)) AS zs FROM mm WHERE n >= 2), dk AS (SELECT *, abs(zs) AS z, 1 / (1 + 0.2316419 * abs(zs)) AS k FROM dz)
+SELECT code, n, round(sr, 6) AS sharpe, round(zs, 5) AS deflated_z, round(CASE WHEN zs >= 0 THEN 1 - """ + _TAIL + """ ELSE """ + _TAIL + """ END, 5) AS deflated_sharpe FROM dk""")
 def deflated_sharpe(spark, folder):
-    """z of each code's Sharpe ratio against the best to expect of 20 tries."""
+    """The chance that each code's Sharpe ratio is above both 0.01 a week and the best to expect of 20 tries, and its z."""
     rows = ret_panel(spark, folder).where("ret is not null").groupBy("code").agg(F.count("ret").alias("n"), F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt")).where("n >= 2 and sd > 1e-12")
     sr = c("mu") / c("sd")
-    z = (sr - training.deflated_benchmark(20, c("n"))) * F.sqrt(c("n") - 1) / F.sqrt(F.greatest(F.lit(1e-12), 1 - c("skew") * sr + (c("kurt") - 1) / 4 * sr * sr))
-    return rows.select("code", "n", F.round(sr, 6).alias("sharpe"), F.round(z, 5).alias("deflated_z"))
+    z = (sr - F.greatest(F.lit(0.01), training.deflated_benchmark(20, c("n")))) * F.sqrt(c("n") - 1) / F.sqrt(F.greatest(F.lit(1e-12), 1 - c("skew") * sr + (c("kurt") - 1) / 4 * sr * sr))
+    return rows.select("code", "n", F.round(sr, 6).alias("sharpe"), F.round(z, 5).alias("deflated_z"), F.round(scoring.normal_cdf(z), 5).alias("deflated_sharpe"))
 
 
 STATE_SQL = """, ix AS (SELECT date, sum(amount) / sum(volume) AS px FROM P GROUP BY date), ma AS (SELECT date, px, CASE WHEN count(px) OVER (ORDER BY date ROWS 19 PRECEDING) >= 20 THEN avg(px) OVER (ORDER BY date ROWS 19 PRECEDING) END AS slow FROM ix),

@@ -31,7 +31,9 @@ def small_cap_universe(spark, folder):
     return out.select("code", "date", "member", F.when(c("member"), F.round("close", 6)).alias("close"))
 
 
-@query(CAP + ", L AS (SELECT *, " + LIQUID + " AS liquid FROM C) SELECT code, date, " + ", ".join(f"coalesce(cap BETWEEN {low or 8e8} AND {high}, false) AND coalesce(liquid >= 10000, false) AS {n}" for n, (low, high) in universe.BANDS.items()) + " FROM L")
+@query(CAP + ", L AS (SELECT *, " + LIQUID + " AS liquid FROM C) SELECT code, date, " + """true AS "all", coalesce(cap BETWEEN 30e8 AND 150e8, false) AND coalesce(liquid >= 10000, false) AS small, coalesce(cap BETWEEN 50e8 AND 300e8, false) AND coalesce(liquid >= 10000, false) AS small_mid,
+ coalesce(cap BETWEEN 100e8 AND 500e8, false) AND coalesce(liquid >= 10000, false) AS mid, coalesce(cap BETWEEN 8e8 AND 30e8, false) AND coalesce(liquid >= 10000, false) AS micro, coalesce(cap BETWEEN 20e8 AND 500e8, false) AND coalesce(liquid >= 10000, false) AS small_mid_wide,
+ coalesce(cap BETWEEN 0 AND 100e8, false) AND coalesce(liquid >= 10000, false) AS micro_small_100, coalesce(cap BETWEEN 0 AND 30e8, false) AND coalesce(liquid >= 10000, false) AS micro_30, coalesce(cap BETWEEN 0 AND 30e8, false) AND coalesce(liquid >= 10000, false) AS micro_lt30 FROM L""")
 def cap_bands(spark, folder):
     return sized(spark, folder).select("code", "date", *[universe.cap_band(n, c("cap"), c("amount"), 10000).alias(n) for n in universe.BANDS])
 

@@ -37,7 +37,7 @@ def test_interval_flag_takes_every_line(spark):
     lines = defaultdict(list)
     for r in read("lineitem", "l_suppkey", "l_shipdate", "l_linenumber"):
         lines[f"{r['l_suppkey']:06}"].append((r["l_shipdate"].date(), 7 * r["l_linenumber"]))
-    rows = queries.QUERIES["interval_flag_all_lines"](spark, DATA).collect()
+    rows = queries.QUERIES["interval_flag"](spark, DATA).collect()
     assert {r["code"] for r in rows} == set(lines)
     for r in rows:
         last = max(s for s, _ in lines[r["code"]])
@@ -54,7 +54,7 @@ def test_events_roll_forward_or_are_dropped(spark):
 
 
 def test_event_grid_counts_every_event_once(spark):
-    rows = queries.QUERIES["event_grid_rolled"](spark, DATA).collect()
+    rows = queries.QUERIES["event_grid"](spark, DATA).collect()
     events = read("events", "user_id", "value")
     assert sum(r["n"] or 0 for r in rows) == len(events)
     assert abs(sum(r["v"] or 0 for r in rows) - sum(e["value"] for e in events)) < 1e-6 * len(events)
@@ -63,5 +63,5 @@ def test_event_grid_counts_every_event_once(spark):
 def test_event_grid_spans_the_table(spark, tmp_path):
     at = [datetime.datetime(2023, 12, 30, 5), datetime.datetime(2024, 1, 3, 23), datetime.datetime(2024, 2, 9, 1)]
     spark.createDataFrame([(1, at[0], 1.0), (2, at[1], 2.0), (1, at[2], 4.0)], "user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
-    rows = queries.QUERIES["event_grid_rolled"](spark, str(tmp_path)).where("n > 0").collect()
+    rows = queries.QUERIES["event_grid"](spark, str(tmp_path)).where("n > 0").collect()
     assert sorted((r["code"], str(r["date"]), r["n"], r["v"]) for r in rows) == [("1", "2023-12-30", 1, 1.0), ("1", "2024-02-10", 1, 4.0), ("2", "2024-01-05", 1, 2.0)]

@@ -96,6 +96,41 @@ def test_half_life_between_horizons(spark):
 
 def test_overlap_and_absent_masks(spark):
     dates = spark.createDataFrame([(d,) for d in (DAY, DAY + datetime.timedelta(5), DAY + datetime.timedelta(30))], "date date")
-    assert [r["weight"] for r in training.overlap_weights(dates, 10).orderBy("date").collect()] == pytest.approx([0.5, 1.0, 1.0])
+    assert [r["weight"] for r in training.overlap_weights(dates, 10).orderBy("date").collect()] == pytest.approx([0.75, 1.0, 1.0])
+    ahead = training.overlap_weights(dates, 10, F.date_add(F.lit(DAY), 32)).orderBy("date").collect()
+    assert [r["weight"] for r in ahead] == pytest.approx([0.75, 1.0, 0.6])  # eight of the last label's ten days are shared
+    assert [r["weight"] for r in training.overlap_weights(dates, 0).collect()] == [1.0] * 3
     row = spark.range(1).select(universe.conjunction(None, F.lit(True)).alias("a"), universe.conjunction(F.lit(None).cast("boolean"), F.lit(True)).alias("b"), universe.conjunction(None).alias("c")).first()
     assert tuple(row) == (True, False, True)
+
+
+def test_named_bands(spark):
+    caps = spark.createDataFrame([(v * 1e8,) for v in (5.0, 8.0, 30.0, 50.0, 100.0, 150.0, 400.0, 600.0)], "cap double").withColumns({"amount": F.lit(1e9), "code": F.lit("a"), "date": F.monotonically_increasing_id()})
+    inside = lambda name: [r["cap"] / 1e8 for r in caps.where(F.col("cap").between(*[F.lit(x) for x in universe.BANDS[name]])).orderBy("cap").collect()]
+    assert inside("small") == [30, 50, 100, 150] and inside("small_mid") == [50, 100, 150] and inside("mid") == [100, 150, 400] and inside("micro") == [8, 30]
+    assert inside("small_mid_wide") == [30, 50, 100, 150, 400] and inside("micro_small_100") == [5, 8, 30, 50, 100] and inside("micro_30") == inside("micro_lt30") == [5, 8, 30]
+    assert caps.select(universe.cap_band("all", F.lit(None).cast("double"), F.col("amount"), 1e12).alias("m")).distinct().collect() == [(True,)]
+
+
+def test_overfitting_probability_and_its_logit(spark):
+    trials = [(t, f"s{k}", float(k), float(k if t < 3 else -k)) for t in range(4) for k in range(4)]
+    chosen = training.overfitting(spark.createDataFrame(trials, "trial int, strategy string, inside double, outside double"))
+    row = training.overfitting_probability(chosen).first()
+    assert (row["trials"], row["pbo"]) == (4, 0.25) and row["logit_pbo"] == pytest.approx(math.log(1 / 3))
+    sure = training.overfitting_probability(chosen.where("trial < 3")).first()
+    assert sure["pbo"] == 0 and sure["logit_pbo"] == pytest.approx(math.log(1e-6 / (1 - 1e-6)))
+    assert tuple(training.overfitting_probability(chosen.where("false")).first()) == (0, None, None)
+
+
+def test_a_formula_with_a_recursive_mean(spark):
+    import pandas as pd
+
+    from crosspanel.plans import expressions as e
+
+    values = [1.0, 2.0, None, 4.0, 3.0, None, None, 8.0]
+    panel = spark.createDataFrame([(f"c{k}", d, None if v is None else v + k) for k in range(3) for d, v in zip(days(8), values, strict=True)], "code string, date date, close double")
+    got = e.evaluate(panel, {"y": e.ewm_sma(e.ewm_sma(e.column("close"), 3, 1) * 2, 4, 2)}).orderBy("code", "date").collect()
+    for k in range(3):
+        want = (pd.Series(values) + k).ewm(alpha=1 / 3, adjust=False).mean() * 2
+        want = want.ewm(alpha=0.5, adjust=False).mean()
+        assert [r["y"] for r in got if r["code"] == f"c{k}"] == pytest.approx(want.tolist())
