@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import factor_queries, model_queries, named_queries, pure_queries, signal_queries, training_queries, universe_queries  # noqa: F401  they register their queries
+from . import factor_queries, model_queries, named_queries, pool_queries, pure_queries, signal_queries, training_queries, universe_queries  # noqa: F401  they register their queries
 from .queries import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

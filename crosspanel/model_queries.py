@@ -47,12 +47,6 @@ def ic_correlation(spark, folder):
     return rounded(selection.ic_correlations(factor_ics(spark, folder)))
 
 
-@query()
-def greedy_choice(spark, folder):
-    series = factor_ics(spark, folder)
-    return selection.without_redundant(ic.ic_stats(series, "factor"), selection.ic_correlations(series), 0.3)
-
-
 @query(ROWS_SQL + """, K AS (SELECT factor, ic, row_number() OVER (PARTITION BY factor ORDER BY date DESC) <= 52 AS late FROM FI WHERE ic IS NOT NULL),
 G AS (SELECT factor, abs(avg(ic) FILTER (late) / stddev_pop(ic) FILTER (late)) AS r, abs(avg(ic) FILTER (NOT late) / stddev_pop(ic) FILTER (NOT late)) AS p FROM K GROUP BY factor)
 SELECT factor, round(r, 5) AS recent_icir, round(p, 5) AS past_icir, round(r / p, 3) AS retention FROM G""")
