@@ -81,9 +81,9 @@ def residuals(rows: DataFrame, values: list[str], controls: list[str], group: st
         for v in range(len(values)):
             sums = known.groupBy(*KEYS).agg(*grams, *[F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_y{v}")).alias(f"y{i}") for i in range(k)])
             types = {f.name: f.dataType.simpleString() for f in known.schema.fields}
-            beta = sums.mapInPandas(_solve(k), ", ".join(f"{c} {types[c]}" for c in KEYS) + ", beta array<double>").withColumnRenamed("beta", f"_b{v}")
-            fitted = sum((F.col(f"_x{i}") * F.get(f"_b{v}", F.lit(i)) for i in range(k)), F.lit(0.0))
-            known = known.join(beta, list(KEYS)).withColumn(f"_y{v}", F.col(f"_y{v}") - fitted).drop(f"_b{v}")
+            beta = sums.mapInPandas(_solve(k), ", ".join(f"{c} {types[c]}" for c in KEYS) + ", beta array<double>").withColumnRenamed("beta", f"_beta{v}")
+            fitted = sum((F.col(f"_x{i}") * F.get(f"_beta{v}", F.lit(i)) for i in range(k)), F.lit(0.0))
+            known = known.join(beta, list(KEYS)).withColumn(f"_y{v}", F.col(f"_y{v}") - fitted).drop(f"_beta{v}")
     return known.withColumns({f"{v}_res": F.col(f"_y{i}") for i, v in enumerate(values)}).drop("_n", "_w", "_g", *freed)
 
 

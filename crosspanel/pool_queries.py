@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import crosssection as cs
 from .model_queries import factor_ics
-from .operators import ic, pools, selection
+from .operators import choice, ic, pools, selection
 from .queries import SCORE_SQL, c, query, rounded, scored
 from .sources.panel import PANEL_SQL
 
@@ -116,3 +117,30 @@ def greedy_choice(spark, folder):
     """Of three factors, by falling strength, those whose coefficients don't correlate with one's kept before."""
     series = factor_ics(spark, folder)
     return selection.without_redundant(ic.ic_stats(series, "factor"), selection.ic_correlations(series), 0.3)
+
+
+@query()
+def gram_schmidt_selection(spark, folder):
+    """Of eight factors those that add something to the ones chosen before, tried by strength."""
+    rows = many_factors(spark, folder)
+    stats = ic.ic_stats(many_ics(spark, folder), "factor")
+    return rounded(choice.gram_schmidt_selection(rows, stats, 5, first_ic=0.0, first_icir=0.0, first_t=0.0, least=5))
+
+
+_CL_SQL = SCORE_SQL + ", cw AS (SELECT date, code, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _MANY.items()) + " FROM S)"
+
+
+@query(_CL_SQL + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(CASE WHEN isfinite(corr({a}, {b})) THEN corr({a}, {b}) END, 0), 6) AS corr FROM cw" for i, a in enumerate(sorted(_MANY)) for b in sorted(_MANY)[i + 1 :]))
+def feature_correlations(spark, folder):
+    """Correlation of every two features over all rows, in one pass."""
+    wide = scored(spark, folder).select("date", "code", *(F.expr(e).cast("double").alias(n) for n, e in _MANY.items()))
+    return rounded(choice.feature_correlations(wide, sorted(_MANY)))
+
+
+@query()
+def cluster_importance(spark, folder):
+    """What a linear score of eight standardised features loses without each group of features that move together."""
+    wide = scored(spark, folder).select("date", "code", "fwd", *(F.expr(e).cast("double").alias(n) for n, e in _MANY.items()))
+    wide = wide.select("date", "code", "fwd", *(cs.cs_zscore(c(n)).alias(n) for n in sorted(_MANY)))
+    clusters = choice.clustered_features(wide, sorted(_MANY), 0.7)
+    return rounded(choice.cluster_importance(wide, {n: 0.1 * (k + 1) for k, n in enumerate(sorted(_MANY))}, clusters, "fwd", 5, 42, 5))
