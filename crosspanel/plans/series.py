@@ -175,10 +175,33 @@ KERNELS: dict[str, Callable[..., np.ndarray]] = {
 }
 
 
+def section_rank(x):
+    """Average rank over the number of values."""
+    ranks = pd.Series(x).rank().to_numpy()
+    return ranks / max(1, (~np.isnan(x)).sum())
+
+
+def section_scale(x):
+    size = np.nansum(np.abs(x))
+    return x / size if size > 0 else np.full(len(x), np.nan)
+
+
+def _everywhere(x, extreme):
+    known = x[~np.isnan(x)]
+    return np.full(len(x), extreme(known) if len(known) else np.nan)
+
+
+#: Of all codes of a date.
+SECTIONS: dict[str, Callable[..., np.ndarray]] = {"csrank": section_rank, "scale": section_scale, "rowmax": lambda x: _everywhere(x, np.max), "rowmin": lambda x: _everywhere(x, np.min)}
+
+
 def with_series(panel: DataFrame, made: dict[str, tuple[str, tuple[str, ...], tuple]], by: str = BY, order: str = ORDER) -> DataFrame:
-    """The panel with a column for each of made: name to (kernel, input columns, numbers). A code's rows, of the calendar's length, are one group."""
+    """The panel with a column for each of made: name to (kernel, input columns, numbers).
+
+    A code's rows, of the calendar's length, are one group; for SECTIONS, by date, it is the codes of a date, of the universe's size.
+    """
     schema = StructType([*panel.schema.fields, *[StructField(n, DoubleType()) for n in made]])
-    names = panel.columns
+    names, kernels = panel.columns, KERNELS | SECTIONS
 
     def walk(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, sort_keys=[(order, "ascending")]))
@@ -190,7 +213,7 @@ def with_series(panel: DataFrame, made: dict[str, tuple[str, tuple[str, ...], tu
             return arrays[name]
 
         with np.errstate(all="ignore"):
-            out = [pa.array(KERNELS[kind](*(array(c) for c in inputs), *numbers), from_pandas=True) for kind, inputs, numbers in made.values()]
+            out = [pa.array(kernels[kind](*(array(c) for c in inputs), *numbers), from_pandas=True) for kind, inputs, numbers in made.values()]
         return pa.table([*rows.columns, *out], names=[*names, *made])
 
     return panel.groupBy(by).applyInArrow(walk, schema)
