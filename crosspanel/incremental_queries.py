@@ -14,13 +14,13 @@ _OLD, _NEW = "date < DATE '2000-01-03' AND CAST(code AS INTEGER) % 7 <> 3", "dat
 
 
 @query(f""", o AS (SELECT code, date, close AS a, volume AS b FROM P WHERE {_OLD}), n AS (SELECT code, date, CASE WHEN day(date) % 4 <> 0 THEN close * 2 END AS a, CASE WHEN day(date) % 3 <> 0 THEN volume + 1 END AS b FROM P WHERE {_NEW})
-SELECT coalesce(n.code, o.code) AS code, coalesce(n.date, o.date) AS date, round(coalesce(n.a, o.a), 6) AS a, coalesce(n.b, o.b) AS b FROM o FULL JOIN n ON n.code = o.code AND n.date = o.date""")
+SELECT coalesce(n.code, o.code) AS code, coalesce(n.date, o.date) AS date, round(coalesce(n.a, o.a), 8) AS a, coalesce(n.b, o.b) AS b FROM o FULL JOIN n ON n.code = o.code AND n.date = o.date""")
 def incremental_merge(spark, folder):
     """An older table and a newer one that overlap in time, both with gaps."""
     panel = weekly_panel(spark, folder)
     old = panel.where(_OLD.replace("INTEGER", "INT")).select("code", "date", c("close").alias("a"), c("volume").alias("b"))
     new = panel.where(_NEW).select("code", "date", F.when(F.dayofmonth("date") % 4 != 0, c("close") * 2).alias("a"), F.when(F.dayofmonth("date") % 3 != 0, c("volume") + 1).alias("b"))
-    return rounded(incremental.merged(old, new, ["a", "b"]))
+    return rounded(incremental.merged(old, new, ["a", "b"]), 8)  # prices have seven decimals at most or many more, so no value lies between two roundings
 
 
 @query(f" SELECT code, date, round(CASE WHEN count(close) {frame_sql(20)} >= 10 THEN avg(close) {frame_sql(20)} END / close, 6) AS m, round(close / lag(close, 12) OVER (PARTITION BY code ORDER BY date) - 1, 6) AS r FROM P")
