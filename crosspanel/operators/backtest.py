@@ -62,3 +62,17 @@ def period_results(values: DataFrame, paths: DataFrame) -> DataFrame:
 def exposed(ret, exposure):
     """A return under a share of exposure, held between 0 and 1."""
     return ret * F.greatest(F.least(exposure, F.lit(1.0)), F.lit(0.0))
+
+
+def index_returns(index: DataFrame, periods: DataFrame) -> DataFrame:
+    """period and ret of an index(date, px) over the dates of each of periods(date, period, executed), from the day of execution on.
+
+    That day earns from the last known price before it, later days only where the day before has a price too; null for periods without any price.
+    """
+    before = F.last("px", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1))  # one row for each date
+    known = index.groupBy("date").agg(F.max("px").alias("px")).withColumns({"_before": before, "_day_before": F.lag("px").over(Window.orderBy("date"))})
+    rows = periods.join(F.broadcast(known), "date", "left").where(F.col("date") >= F.col("executed"))
+    base = F.when(F.col("date") == F.col("executed"), F.col("_before")).otherwise(F.col("_day_before"))
+    step = F.when((base > 0) & F.col("px").isNotNull(), F.col("px") / F.when(base > 0, base)).otherwise(1.0)
+    chained = rows.withColumn("_step", step).groupBy("period").agg(F.product("_step").alias("_nav"), F.count("px").alias("_n"))
+    return chained.select("period", F.when(F.col("_n") > 0, F.col("_nav") - 1).alias("ret"))

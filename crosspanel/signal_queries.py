@@ -68,6 +68,16 @@ def compounded_nav(spark, folder):
     return values.select("period", F.round(F.sum(F.ln("v")).over(over), 6).alias("log_nav"))
 
 
+@query(HOLD_SQL + """, ix0 AS (SELECT date, sum(amount) / sum(volume) AS px FROM P GROUP BY date), ix AS (SELECT date, px, last_value(px IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, lag(px) OVER (ORDER BY date) AS db FROM ix0),
+st AS (SELECT period, px, CASE WHEN px IS NOT NULL AND CASE WHEN pr.date = executed THEN bf ELSE db END > 0 THEN px / CASE WHEN pr.date = executed THEN bf ELSE db END ELSE 1 END AS s FROM pr JOIN ix ON ix.date = pr.date) SELECT period, round(CASE WHEN count(px) > 0 THEN product(s) - 1 END, 6) AS ret FROM st GROUP BY period""")
+def index_hold_return(spark, folder):
+    """The market's return over each hold period, from the close before its execution on."""
+    panel = weekly_panel(spark, folder)
+    signals_at = panel.groupBy(F.trunc("date", "month").alias("m")).agg(F.max("date").alias("date")).select("date")
+    index = panel.groupBy("date").agg((F.sum("amount") / F.sum("volume")).alias("px"))
+    return rounded(backtest.index_returns(index, backtest.hold_periods(panel.select("date").distinct(), signals_at)))
+
+
 IC_SQL = ROWS_SQL + ", K AS (SELECT factor, date, ic, greatest(least(ic, 0.3), -0.3) AS x, row_number() OVER (PARTITION BY factor ORDER BY date DESC) AS e, row_number() OVER (PARTITION BY factor ORDER BY date) AS p, count(*) OVER (PARTITION BY factor) AS n FROM FI WHERE ic IS NOT NULL)"
 RATIO = "CASE WHEN stddev_pop({x}) {f} > 1e-12 THEN avg({x}) {f} / stddev_pop({x}) {f} WHEN avg({x}) {f} IS NOT NULL THEN 0 END"
 
