@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.series import average_ranks, rank_correlation
 from . import ic, pure_ic
 
 
@@ -105,15 +107,28 @@ def cluster_importance(rows: DataFrame, betas: dict[str, float], clusters: DataF
     for r in clusters.collect():  # a row for each feature
         groups.setdefault(r["cluster"], []).append(r["feature"])
     part = lambda names: sum((F.coalesce(F.col(f), F.lit(0.0)) * betas[f] for f in names if f in betas), F.lit(0.0))
-    known = rows.where(F.col(label).isNotNull()).select("date", "code", F.col(label).alias("y"), part(sorted(betas)).alias("score"), F.array(*(F.struct(F.lit(c).alias("cluster"), part(fs).alias("part")) for c, fs in sorted(groups.items()))).alias("parts"))
-    numbered = known.withColumn("at", F.row_number().over(Window.partitionBy("date").orderBy("code")))
-    turns = known.select("date", "code", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("turn"))
-    shuffled = turns.withColumn("at", F.row_number().over(Window.partitionBy("date", "turn").orderBy(F.xxhash64(F.lit(seed), "turn", "code"), "code")))
-    giver = numbered.select("date", "at", F.col("parts").alias("given"))
-    moved = shuffled.join(giver, ["date", "at"]).join(known, ["date", "code"])
-    cells = moved.select("date", "code", "turn", "y", "score", F.explode(F.arrays_zip("parts", "given")).alias("o"))
-    cells = cells.select("date", "turn", "y", F.col("o.parts.cluster").alias("cluster"), (F.col("score") - F.col("o.parts.part") + F.col("o.given.part")).alias("score"))
-    base = ic.ic_series(known.select("date", "score", "y"), "score", "y", least).agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("base"))
-    lost = ic.ic_series(cells, "score", "y", least, ("cluster", "turn", "date")).groupBy("cluster", "turn").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("left")).groupBy("cluster").agg(F.avg("left").alias("left"))
-    sizes = clusters.groupBy("cluster").agg(F.count_if(F.col("feature").isin(sorted(betas))).alias("n_features"))
-    return sizes.join(lost, "cluster", "left").crossJoin(F.broadcast(base)).select("cluster", F.coalesce(F.col("base") - F.col("left"), F.lit(0.0)).alias("importance"), "n_features")
+    names = sorted(groups)
+    turns = [F.xxhash64(F.lit(seed), F.lit(t), "code").alias(f"_h{t}") for t in range(1, repeats + 1)]
+    known = rows.where(F.col(label).isNotNull() & F.col("code").isNotNull()).select("date", "code", F.col(label).cast("double").alias("y"), part(sorted(betas)).alias("score"), *(part(groups[n]).alias(f"_p{i}") for i, n in enumerate(names)), *turns)
+
+    def correlate(section: pa.Table) -> pa.Table:
+        """A date's rows, moved once for each cluster and turn: so many coefficients leave the task, and no row is copied."""
+        section = section.take(pc.sort_indices(section, sort_keys=[("code", "ascending")]))
+        column = lambda n: section.column(n).to_numpy()
+        y, score = average_ranks(column("y")), column("score")
+        out = [(None, 0, rank_correlation(average_ranks(score), y))] if len(y) >= least else []
+        for t in range(1, repeats + 1 if out else 1):
+            order = np.argsort(column(f"_h{t}"), kind="stable")
+            for i, n in enumerate(names):
+                own = column(f"_p{i}")
+                given = np.empty_like(own)
+                given[order] = own
+                out.append((n, t, rank_correlation(average_ranks(score - own + given), y)))
+        return pa.table({"cluster": pa.array([o[0] for o in out], pa.string()), "turn": pa.array([o[1] for o in out], pa.int32()), "ic": pa.array([o[2] for o in out], pa.float64())})
+
+    ics = known.groupBy("date").applyInArrow(correlate, "cluster string, turn int, ic double")
+    means = ics.groupBy("cluster", "turn").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("left")).groupBy("cluster").agg(F.avg("left").alias("left"))
+    found = {r["cluster"]: r["left"] for r in means.collect()}  # a row for each cluster, and one for all as they are
+    base = found.get(None, 0.0)
+    out = [(n, base - found[n] if n in found else 0.0, sum(f in betas for f in groups[n])) for n in names]
+    return rows.sparkSession.createDataFrame(out, "cluster string, importance double, n_features long")
