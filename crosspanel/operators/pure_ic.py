@@ -1,22 +1,21 @@
 """Coefficients of factors that are freed of controls: many factors, one set of controls for each date.
 
-Rows are (factor, date, code) with the factor's value, the label and the date's controls. Everything is a sum or a window over a
-(factor, date) section or a group within it, so no task holds more than Spark's sort of its rows. Dummies
-of a group are not made: subtracting the group's weighted means from all columns gives the same residuals. What is left are as many normal equations
-as there are continuous controls; each section's, one row, is solved in a small helper.
+Rows are (factor, date, code) with the factor's value, the label and the date's controls. A (factor, date) section, of the universe's size, is one group: it is
+regressed, ranked and put in buckets there, so that its rows are shuffled once. Dummies of a group are not made: subtracting the group's
+weighted means from all columns gives the same residuals. What is left are as many normal equations as there are continuous controls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import timeseries as ts
-from . import ic
+from ..plans.series import average_ranks, rank_correlation
 
 KEYS = ("factor", "date")
 OTHER, UNKNOWN = "other", "none"
@@ -38,25 +37,33 @@ def pool_size(panel: DataFrame, cap: str, member: Column, name: str = "size") ->
     return inside.withColumn("_z", F.when((F.count(name).over(over) >= 2) & F.col(name).isNotNull(), z)).drop(name).withColumnRenamed("_z", name)
 
 
-def filled_weights(weight: Column, over) -> Column:
-    """Weights without a positive value become the section's median of those that have one, or 1 if none has."""
-    good = F.when(weight > 0, ts.real(weight))
-    return F.coalesce(good, F.percentile(good, F.lit(0.5)).over(over), F.lit(1.0))
-
-
-def _solve(k: int):
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for sums in batches:
-            a = np.zeros((len(sums), k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    a[:, i, j] = a[:, j, i] = sums[f"s{i}_{j}"]
-            y = np.stack([sums[f"y{i}"] for i in range(k)], axis=1)
-            # The pseudo-inverse: controls that depend on each other leave the residual as it is.
-            beta = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-12, hermitian=True), y) if len(sums) else y
-            yield pd.DataFrame({**{c: sums[c] for c in KEYS}, "beta": beta.tolist()})
-
-    return solve
+def _freed(section: pa.Table, values: list[str], controls: list[str], group: str | None, weight: str | None) -> list[np.ndarray]:
+    """The values of one section, known in all rows, less what the weighted regression on controls, a constant and the group's dummies explains."""
+    column = lambda n: pc.fill_null(section.column(n).cast(pa.float64()), np.nan).to_numpy()
+    w = np.ones(len(section))
+    if weight:
+        w = column(weight).copy()
+        good = np.isfinite(w) & (w > 0)
+        w[~good] = np.median(w[good]) if good.any() else 1.0
+    place = np.zeros(len(section), int)
+    if group:
+        place = pc.fill_null(section.column(group).cast(pa.string()), UNKNOWN).combine_chunks().dictionary_encode().indices.to_numpy()
+    total = np.bincount(place, w)
+    centred = lambda x: x - (np.bincount(place, w * x) / total)[place]
+    x = [centred(np.where(np.isfinite(v), v, 0.0)) for v in map(column, controls)]
+    y = [centred(column(v)) for v in values]
+    if x:
+        x = np.stack(x)
+        # The pseudo-inverse: controls that depend on each other leave the residual as it is.
+        inverse = np.linalg.pinv((x * w) @ x.T, rcond=1e-12, hermitian=True)
+        y = [v - (inverse @ ((x * w) @ v)) @ x for v in y]
+    return y
+
+
+def _known(rows: DataFrame, values: list[str]) -> DataFrame:
+    for v in values:
+        rows = rows.where(ts.real(F.col(v)).isNotNull())
+    return rows
 
 
 def residuals(rows: DataFrame, values: list[str], controls: list[str], group: str | None = None, weight: str | None = None, least: int = 30) -> DataFrame:
@@ -64,36 +71,47 @@ def residuals(rows: DataFrame, values: list[str], controls: list[str], group: st
 
     Rows where one of the values is null take no part and are left out, as are sections with fewer than `least` rows; a null control counts as 0.
     """
-    over = Window.partitionBy(*KEYS)
-    known = rows
-    for v in values:
-        known = known.where(ts.real(F.col(v)).isNotNull())
-    w = filled_weights(F.col(weight), over) if weight else F.lit(1.0)
-    known = known.withColumns({"_n": F.count(F.lit(1)).over(over), "_w": w, "_g": F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN)) if group else F.lit("")}).where(F.col("_n") >= least)
-    inside = Window.partitionBy(*KEYS, "_g")
-    freed = {f"_x{i}": ts.real(F.coalesce(F.col(x), F.lit(0.0)).cast("double")) for i, x in enumerate(controls)} | {f"_y{i}": F.col(v).cast("double") for i, v in enumerate(values)}
-    known = known.withColumns(freed)
-    total = F.sum("_w").over(inside)
-    known = known.withColumns({name: F.col(name) - F.sum(F.col("_w") * F.col(name)).over(inside) / total for name in freed})
-    k = len(controls)
-    if k:
-        grams = [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-        for v in range(len(values)):
-            sums = known.groupBy(*KEYS).agg(*grams, *[F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_y{v}")).alias(f"y{i}") for i in range(k)])
-            types = {f.name: f.dataType.simpleString() for f in known.schema.fields}
-            beta = sums.mapInPandas(_solve(k), ", ".join(f"{c} {types[c]}" for c in KEYS) + ", beta array<double>").withColumnRenamed("beta", f"_beta{v}")
-            fitted = sum((F.col(f"_x{i}") * F.get(f"_beta{v}", F.lit(i)) for i in range(k)), F.lit(0.0))
-            known = known.join(beta, list(KEYS)).withColumn(f"_y{v}", F.col(f"_y{v}") - fitted).drop(f"_beta{v}")
-    return known.withColumns({f"{v}_res": F.col(f"_y{i}") for i, v in enumerate(values)}).drop("_n", "_w", "_g", *freed)
+    names = rows.columns
+    schema = StructType([*rows.schema.fields, *(StructField(f"{v}_res", DoubleType()) for v in values)])
+
+    def free(section: pa.Table) -> pa.Table:
+        section = section.slice(0, len(section) if len(section) >= least else 0)
+        freed = _freed(section, values, controls, group, weight) if len(section) else [np.zeros(0)] * len(values)
+        return pa.table([*section.columns, *map(pa.array, freed)], names=[*names, *(f"{v}_res" for v in values)])
+
+    return _known(rows, values).groupBy(*KEYS).applyInArrow(free, schema)
+
+
+def _slim(rows: DataFrame, values: list[str], controls: list[str], group: str | None, weight: str | None, *more: str) -> DataFrame:
+    return _known(rows, values).select(*KEYS, *dict.fromkeys([*values, *controls, *([group] if group else []), *([weight] if weight else []), *more]))
+
+
+def _of_sections(rows: DataFrame, fields: str, least: int, make) -> DataFrame:
+    """The section's keys and one row of numbers for each section of at least `least` rows."""
+    schema = StructType([*(rows.schema[k] for k in KEYS), *StructType.fromDDL(fields)])
+    made = {f.name: pa.int64() if f.dataType == LongType() else pa.float64() for f in schema.fields[len(KEYS) :]}
+
+    def one(section: pa.Table) -> pa.Table:
+        numbers = make(section) if len(section) >= least else None
+        out = section.select(list(KEYS)).slice(0, 0 if numbers is None else 1)
+        for n, t in made.items():
+            out = out.append_column(n, pa.array([numbers[n]] if len(out) else [], t))
+        return out
+
+    return rows.groupBy(*KEYS).applyInArrow(one, schema)
 
 
 def pure_ic(rows: DataFrame, value: str, label: str, controls: list[str], group: str | None = None, weight: str | None = None, least: int = 30, digits: int = 9) -> DataFrame:
     """factor, date, ic, n: rank correlation of the factor's residual with the label.
 
-    Residuals that agree to `digits` decimals are ties (a code alone in its group has a residual of 0 up to rounding).
+    Residuals that agree to `digits` decimals are ties (a code alone in its group has a residual of 0 up to rounding). A section is regressed and ranked in one group.
     """
-    known = residuals(rows.where(ts.real(F.col(label)).isNotNull()), [value], controls, group, weight, least)
-    return ic.ic_series(known.withColumn("_r", F.round(f"{value}_res", digits)), "_r", label, least, KEYS)
+
+    def correlate(section: pa.Table) -> dict:
+        x = np.round(_freed(section, [value], controls, group, weight)[0], digits)
+        return {"ic": rank_correlation(average_ranks(x), average_ranks(section.column(label).to_numpy())), "n": len(section)}
+
+    return _of_sections(_slim(rows, [value, label], controls, group, weight), "ic double, n long", least, correlate)
 
 
 def pure_means(series: DataFrame) -> DataFrame:
@@ -116,13 +134,26 @@ def pure_spread(rows: DataFrame, value: str, label: str, controls: list[str], gr
 
     residual_label: whether the label is freed of the controls too. sign is -1 where the factor was turned.
     """
-    known = residuals(rows.where(ts.real(F.col(label)).isNotNull()), [value, label] if residual_label else [value], controls, group, weight, least)
-    known = known.withColumn("_r", F.round(f"{value}_res", digits))
-    y = f"{label}_res" if residual_label else label
-    signs = pure_means(ic.ic_series(known, "_r", label, least, KEYS)).select("factor", F.when(F.col("pure_ic") < 0, -1).otherwise(1).alias("sign"))
-    turned = known.join(signs, "factor").withColumn("_r", F.col("_r") * F.col("sign"))
-    by = Window.partitionBy(*KEYS)
-    ranked = turned.withColumns({"_n": F.count("*").over(by), "_k": F.row_number().over(by.orderBy("_r", "code"))})
-    bucket = F.floor((F.col("_k") - 1) * n / F.col("_n"))
-    daily = ranked.groupBy(*KEYS, "sign").agg(F.avg(F.when(bucket == 0, F.col(y))).alias("low"), F.avg(F.when(bucket == n - 1, F.col(y))).alias("high"), F.avg(y).alias("all"), F.count("*").alias("n"))
-    return daily.select(*KEYS, "sign", "n", "low", "high", (F.col("high") - F.col("all")).alias("long_excess"), (F.col("all") - F.col("low")).alias("short_contribution"), (F.col("high") - F.col("low")).alias("spread"))
+    turns = {1: "up", -1: "down"}
+
+    def both_ways(section: pa.Table) -> dict:
+        section = section.take(pc.sort_indices(section, sort_keys=[("code", "ascending")]))
+        freed = _freed(section, [value, label] if residual_label else [value], controls, group, weight)
+        x, raw = np.round(freed[0], digits), section.column(label).to_numpy()
+        y, size = freed[1] if residual_label else raw, len(section)
+        bucket = np.arange(size) * n // size
+        out = {"ic": rank_correlation(average_ranks(x), average_ranks(raw)), "n": size, "all": y.mean()}
+        for sign, turn in turns.items():
+            order = np.argsort(sign * x, kind="stable")
+            for name, k in (("low", 0), ("high", n - 1)):
+                found = y[order[bucket == k]]
+                out[f"{name}_{turn}"] = found.mean() if len(found) else None
+        return out
+
+    fields = "ic double, n long, all double, low_up double, high_up double, low_down double, high_down double"
+    daily = _of_sections(_slim(rows, [value, label], controls, group, weight, "code"), fields, least, both_ways)
+    # The sign is that of the mean over all dates; a factor has one row for each date here.
+    sign = F.when(F.avg("ic").over(Window.partitionBy("factor")) < 0, -1).otherwise(1)
+    turned = daily.withColumn("sign", sign)
+    low, high = (F.when(F.col("sign") > 0, F.col(f"{k}_up")).otherwise(F.col(f"{k}_down")).alias(k) for k in ("low", "high"))
+    return turned.select(*KEYS, "sign", "n", low, high, "all").select(*KEYS, "sign", "n", "low", "high", (F.col("high") - F.col("all")).alias("long_excess"), (F.col("all") - F.col("low")).alias("short_contribution"), (F.col("high") - F.col("low")).alias("spread"))

@@ -112,3 +112,10 @@ def test_spread_is_turned_to_the_mean_coefficients_side(spark, table):
     assert {r["sign"] for r in up} == {1} and {r["sign"] for r in down} == {-1}
     assert [r["spread"] for r in down] == pytest.approx([r["spread"] for r in up], abs=1e-9)
     assert all(r["spread"] == pytest.approx(r["long_excess"] + r["short_contribution"]) for r in up)
+
+
+def test_a_section_is_shuffled_once_and_no_factor_is_one_group(spark, table):
+    """A join by factor alone would send all rows of a factor to one task."""
+    rows = spark.createDataFrame(clean(table), SCHEMA)
+    plan = pure_ic.pure_spread(rows, "x", "fwd", ["a", "b"], "g", "w", 5, 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Exchange hashpartitioning(factor") == 2 and "Join" not in plan
