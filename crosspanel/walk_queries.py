@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from .functions import crosssection as cs
 from .operators import pools, walk_forward
-from .pool_queries import _D, _MANY, MANY_IC_SQL, many_factors, many_ics
+from .pool_queries import _D, _MANY, MANY_IC_SQL, many_factors, many_ics, stored_panel
 from .queries import c, query, rounded, scored
 from .training_queries import STATE_SQL, states
 
 _NAMES = sorted(_MANY)
 
 
-def _decisions(spark, folder):
+def _decisions(panel):
     """Every thirteenth rebalance date the three factors with the largest mean of their last 26 coefficients."""
-    series = many_ics(spark, folder)
+    series = many_ics(panel)
     dates = pools.rebalance_dates(series, window=26)
     some = dates.withColumn("k", F.row_number().over(Window.orderBy("date"))).where("k % 13 = 1").select("date")  # one row for each date
     stats = pools.rolling_window_stats(series, some, 26).where("mean is not null")
@@ -32,8 +32,9 @@ lat AS (SELECT d.date, max(DC.date) AS at FROM (SELECT DISTINCT date FROM FM) d
 @query(DECISIONS_SQL + ", kf AS (SELECT FM.date, FM.code, FM.factor, FM.x FROM FM JOIN lat ON lat.date = FM.date JOIN DC ON DC.date = lat.at AND DC.factor = FM.factor) SELECT date, code, " + ", ".join(f"round(max(x) FILTER (factor = '{n}'), 6) AS {n}" for n in _NAMES) + " FROM kf GROUP BY date, code")
 def pool_feature_table(spark, folder):
     """Features of the pool in force, null for those outside it."""
-    rows = many_factors(spark, folder).select("factor", "date", "code", "x")
-    return rounded(walk_forward.feature_table(rows, _decisions(spark, folder), _NAMES))
+    panel = stored_panel(spark, folder)
+    rows = many_factors(panel).select("factor", "date", "code", "x")
+    return rounded(walk_forward.feature_table(rows, _decisions(panel), _NAMES))
 
 
 @query(STATE_SQL + """, sk AS (SELECT date, state, row_number() OVER (ORDER BY date) AS k FROM ST), sp AS (SELECT a.date, b.date AS train, a.state = b.state AS own FROM sk a JOIN sk b ON b.k < a.k - 2 AND b.k >= a.k - 54), sc AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, count(*) FILTER (own) OVER (PARTITION BY date) AS same FROM sp)
