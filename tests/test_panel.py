@@ -36,3 +36,10 @@ def test_importance_makes_no_row_for_each_cluster_and_turn(spark, monkeypatch):
 
     monkeypatch.setattr(choice.F, "explode", explode)
     assert choice.cluster_importance(rows, {"a": 1.0, "b": 2.0}, clusters, "fwd", 20, 42, 30).count() == 2
+
+
+def test_recursive_mean_walks_a_code_once(spark):
+    from crosspanel import queries
+
+    plan = queries.ewm_sma(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "collect_list(struct(x" not in plan and "Window" not in plan and shuffles(queries.ewm_sma(spark, "/root/testdata/sf0.001")) == 1
