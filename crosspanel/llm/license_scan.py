@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare words. DataFrame functions only.
 
 Templates are word sequences: the notices and grants of well-known licences, each with a mandatory
-phrase, and short phrases, which are their own mandatory phrase. The index's collection are the
+phrase, and short phrases, which are their own mandatory phrase. The index's collection are all texts (`everywhere`), or the
 texts with a key word of some mandatory phrase; words are ranked by idf over it, and a template's postings are the
-places of its words.
+places of its words. Labels and places are the same in both; texts outside the collection have score 0, so only the first scores every text.
 
 1. Of each text, for each template, the `depth` words of highest idf are taken that the text and the template share.
 2. Each place of such a word in the text, moved back by each of the word's places in the template,
@@ -18,7 +18,7 @@ short phrase's rarest word. A word is a run of ASCII letters, digits and of ever
 
 Defined cases: a null text counts as empty; texts without words have zero counts, null positions,
 empty labels and score 0; of positions with equal agreement the smallest is taken; repeated rows each get their own row; a text of any
-length is cut into words once, only if it has a key word; an empty table gives an empty result; other columns, whatever their names, play no part.
+length is cut into words once for the index and once for the look-ups; an empty table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ TEMPLATES = {
 #: A text without any of these has none of the mandatory phrases above.
 KEYS = ("licen", "permission", "redistribution", "reserved", "creative commons", "public domain")
 DEPTH, LONG_DEPTH, INDEXED, SLACK = 2, 5, 24, 3
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Single characters are looked up in a table of bits, which ranges are not.
+_BREAK = "[" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isalnum() or chr(b).isupper()) + "]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are put in lower case
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -117,20 +118,21 @@ def _numbers(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[str, tuple[str, str]] = TEMPLATES, depth: int = DEPTH) -> DataFrame:
-    """One row per row of docs(doc_id, text)."""
+def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[str, tuple[str, str]] = TEMPLATES, depth: int = DEPTH, everywhere: bool = False) -> DataFrame:
+    """One row per row of docs(doc_id, text). everywhere: all texts are the index's collection and have a score, not only those with a key word."""
     phrases = {**BASE, **own}
     vocabulary = sorted({w for p in [*phrases, *(t for t, _ in templates.values())] for w in p.split()})
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _has_key(F.col("text"), [*phrases, *(m for _, m in templates.values())]).alias("candidate"))
+    candidate = F.lit(True) if everywhere else _has_key(F.col("text"), [*phrases, *(m for _, m in templates.values())])
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), candidate.alias("candidate"))
     # The collection's size and how many of its texts have each word of the vocabulary: one row for each word.
-    shared = F.array_intersect(_words(F.col("text")), _constant(vocabulary))
+    shared = F.array_distinct(F.filter(_words(F.col("text")), lambda w: w.isin(vocabulary)))
     rows = slim.where("candidate").select(F.explode(F.concat(F.array(F.lit("")), shared)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in rows}
     total = counts.pop("", 0)
     # Words of one or two characters are too common to index.
     idf = {w: math.log((total + 2) / (counts.get(w, 0) + 1)) if len(w) > 2 else 0.0 for w in vocabulary}
 
-    # Texts without a key word, nearly all, only have their words counted.
+    # Texts outside the collection only have their words counted.
     n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
     nothing = [F.lit(0).cast("long").alias("n_base"), *[F.lit(None).cast("long").alias(n) for n in ("first_word", "last_word")], F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score")]
     plain = slim.where(~F.col("candidate")).select("doc_id", n_words.alias("n_words"), *nothing)
@@ -139,8 +141,10 @@ def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[st
     rarest = lambda of, n: [of[k] for k in sorted(range(len(of)), key=lambda k: (-idf[of[k]], k))][:n]
     of_long = {label: list(dict.fromkeys(w for w in rarest(text.split(), len(text.split())) if idf[w] > 0))[:INDEXED] for label, (text, _) in templates.items()}
     indexed = sorted({w for p in phrases for w in rarest(p.split(), depth)} | {w for ws in of_long.values() for w in ws})
-    hit = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("at"))), lambda h: F.array_contains(_constant(indexed), h["w"]))
-    looked_up = split.select("doc_id", F.size("words").cast("long").alias("n_words"), hit.alias("hits"), F.array_intersect("words", _constant(indexed)).alias("present"), "words")
+    at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(indexed), i)))
+    hit = F.transform("at", lambda i: F.struct(F.get("words", i).alias("w"), i.cast("long").alias("at")))
+    postings = split.select("doc_id", "words", at.alias("at")).select("doc_id", "words", hit.alias("hits"))
+    looked_up = postings.select("doc_id", F.size("words").cast("long").alias("n_words"), "hits", F.array_distinct(F.transform("hits", lambda h: h["w"])).alias("present"), "words")
 
     def rarest_first(of: list[str]) -> list[int]:
         return sorted(range(len(of)), key=lambda k: (-idf[of[k]], k))
@@ -149,10 +153,16 @@ def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[st
         """Where a phrase would begin, by one posting."""
         return F.transform(F.filter("hits", lambda h: h["w"] == of[place]), lambda h: h["at"] - place)
 
+    def has(*of: str) -> Column:
+        """Whether the text has these words at all; most texts lack them, and nothing more is looked up for these."""
+        return reduce(lambda a, b: a & b, [F.array_contains("present", w) for w in dict.fromkeys(of)])
+
     def begins(of: list[str]) -> Column:
         """Positions (words from 0) where the postings of the rarest words and then the whole phrase agree."""
-        agreed = reduce(F.array_intersect, [possible(of, p) for p in rarest_first(of)[:depth]])
-        return F.filter(agreed, lambda at: (at >= 0) & (at + len(of) <= F.size("words")) & (F.slice("words", F.greatest(at, F.lit(0)).cast("int") + 1, len(of)) == _constant(of)))
+        rare = rarest_first(of)[:depth]
+        agreed = reduce(F.array_intersect, [possible(of, p) for p in rare])
+        found = F.filter(agreed, lambda at: (at >= 0) & (at + len(of) <= F.size("words")) & (F.slice("words", F.greatest(at, F.lit(0)).cast("int") + 1, len(of)) == _constant(of)))
+        return F.when(has(*(of[p] for p in rare)), found).otherwise(F.array().cast("array<bigint>"))
 
     def share(of: list[str], at: Column) -> Column:
         """By idf, of the words that stand where this position wants them."""
@@ -161,14 +171,22 @@ def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[st
         return F.aggregate(stands, F.lit(0.0), lambda a, b: a + b) / whole
 
     def partial(of: list[str]) -> Column:
-        return F.coalesce(F.array_max(F.transform(possible(of, rarest_first(of)[0]), lambda at: share(of, at))), F.lit(0.0))
+        rare = rarest_first(of)[0]
+        return F.when(has(of[rare]), F.coalesce(F.array_max(F.transform(possible(of, rare), lambda at: share(of, at))), F.lit(0.0))).otherwise(0.0)
+
+    def shared_with(ranked: list[str]) -> Column:
+        """The LONG_DEPTH highest-idf words that the text has of these."""
+        return F.slice(F.filter(_constant(ranked), lambda w: F.array_contains("present", w)), 1, LONG_DEPTH)
 
-    def most_agreed(of: list[str], ranked: list[str]) -> Column:
-        """struct(n, at): the position that most postings of the text's highest-idf words want, and how many do."""
+    def wanted(of: list[str], ranked: list[str], taken: str) -> Column:
+        """Where the template would begin, by each posting of the words taken, in order; `taken` is a column, as a lambda makes what stands in it for every element."""
         places = F.create_map(*[x for w in ranked for x in (F.lit(w), F.array(*[F.lit(k).cast("long") for k, x in enumerate(of) if x == w]))])
-        taken = F.slice(F.filter(_constant(ranked), lambda w: F.array_contains("present", w)), 1, LONG_DEPTH)
         chosen = F.filter("hits", lambda h: F.array_contains(taken, h["w"]))
-        wanted = F.array_sort(F.flatten(F.transform(chosen, lambda h: F.transform(F.element_at(places, h["w"]), lambda p: h["at"] - p))))
+        all_places = F.flatten(F.transform(chosen, lambda h: F.transform(F.element_at(places, h["w"]), lambda p: h["at"] - p)))
+        return F.when(F.size(taken) > 0, F.sort_array(all_places)).otherwise(F.array().cast("array<bigint>"))
+
+    def most_agreed(wanted: str) -> Column:
+        """struct(n, at): the position that most postings want, and how many do; none where no two agree."""
         none = F.lit(-1).cast("long")
         start = F.struct(F.lit(0).cast("long").alias("n"), none.alias("at"), F.lit(0).cast("long").alias("run"), F.lit(None).cast("long").alias("last"))
 
@@ -176,7 +194,8 @@ def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[st
             run = F.when(at == s["last"], s["run"] + 1).otherwise(F.lit(1).cast("long"))
             return F.struct(F.greatest(s["n"], run).alias("n"), F.when(run > s["n"], at).otherwise(s["at"]).alias("at"), run.alias("run"), at.alias("last"))
 
-        return F.aggregate(wanted, start, step, lambda s: F.struct(s["n"].alias("n"), s["at"].alias("at")))
+        best = F.aggregate(wanted, start, step, lambda s: F.struct(s["n"].alias("n"), s["at"].alias("at")))
+        return F.when(F.size(F.array_distinct(wanted)) < F.size(wanted), best).otherwise(F.struct(F.lit(0).cast("long").alias("n"), none.alias("at")))
 
     def has_mandatory(of: list[str], phrase: list[str], at: Column) -> Column:
         place = next(k for k in range(len(of)) if of[k : k + len(phrase)] == phrase)
@@ -186,7 +205,9 @@ def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[st
 
     short = [(p.split(), p) for p in phrases]
     long = [(text.split(), phrase.split(), label) for label, (text, phrase) in templates.items()]
-    agreed = looked_up.select("*", *[begins(w).alias(f"at{i}") for i, (w, _) in enumerate(short)], *[most_agreed(w, of_long[label]).alias(f"best{i}") for i, (w, _, label) in enumerate(long)])
+    taken = looked_up.select("*", *[shared_with(of_long[label]).alias(f"taken{i}") for i, (_, _, label) in enumerate(long)])
+    placed = taken.select(*looked_up.columns, *[wanted(w, of_long[label], f"taken{i}").alias(f"wanted{i}") for i, (w, _, label) in enumerate(long)])
+    agreed = placed.select(*looked_up.columns, *[begins(w).alias(f"at{i}") for i, (w, _) in enumerate(short)], *[most_agreed(f"wanted{i}").alias(f"best{i}") for i in range(len(long))])
     found = agreed.select(
         "doc_id", "n_words", *[f"at{i}" for i in range(len(short))],
         *[((F.col(f"best{i}.n") >= 2) & has_mandatory(w, m, F.col(f"best{i}.at"))).alias(f"is{i}") for i, (w, m, _) in enumerate(long)],
@@ -209,4 +230,4 @@ def scan_licenses(docs: DataFrame, own: dict[str, str] = OWN, templates: dict[st
         labels(list(range(len(short))), *[F.when(F.col(f"is{i}"), F.lit(label)) for i, (_, _, label) in enumerate(long)]).alias("labels"),
         F.least(F.col("score"), F.lit(1.0)).cast("double").alias("score"),
     )
-    return plain.union(scanned)
+    return scanned if everywhere else plain.union(scanned)

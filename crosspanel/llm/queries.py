@@ -52,7 +52,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

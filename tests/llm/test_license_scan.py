@@ -112,3 +112,34 @@ def test_long_text_repeated_rows_and_clashing_columns(spark):
     assert len(long) > 2 << 20
     got = sorted((r["n_words"], r["n_base"], r["first_word"] or 0, r["labels"]) for r in scan_licenses(docs).collect())
     assert got == [(0, 0, 0, "")] + [(450_502, 1, 450_000, "mit")] * 2
+
+
+def test_everywhere_scores_texts_without_a_key_word(spark):
+    import math
+
+    rows = ["the gnu general public terms", *ROWS, *texts(9, 30), "eclipse public licence here", "binary forms of mozilla", "MIT \u212a \u0130", None, ""]
+    whole = {r["doc_id"]: r for r in scan_licenses(documents(spark, rows), templates={}, everywhere=True).collect()}
+    keyed = {r["doc_id"]: r for r in scan_licenses(documents(spark, rows), templates={}).collect()}
+    tokens = [WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) for t in rows]
+    phrases = [p.split() for p in [*BASE, *OWN]]
+    idf = {w: math.log((len(rows) + 2) / (sum(w in set(k) for k in tokens) + 1)) if len(w) > 2 else 0 for p in phrases for w in p}
+    for i, words in enumerate(tokens):
+        best = 0.0
+        for p in phrases:
+            rare = min(range(len(p)), key=lambda k, p=p: (-idf[p[k]], k))
+            for at in [j - rare for j, w in enumerate(words) if w == p[rare]]:
+                best = max(best, sum(idf[w] for k, w in enumerate(p) if 0 <= at + k < len(words) and words[at + k] == w) / max(sum(idf[w] for w in p), 1e-9))
+        assert abs(whole[i]["score"] - min(best, 1)) < 1e-9, rows[i]
+        assert [whole[i][n] for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")] == list(brute(rows[i]))
+    # The same words have a score with and without a key word beside them.
+    assert whole[0]["score"] > 0.4 and keyed[0]["score"] == 0
+    both = scan_licenses(documents(spark, ["the gnu general public terms", "the gnu general public terms and a license here", *ROWS]), everywhere=True)
+    scores = {r["doc_id"]: r["score"] for r in both.collect()}
+    assert scores[0] > 0.3 and abs(scores[0] - scores[1]) < 1e-9
+
+
+def test_the_query_scores_every_text(spark, tmp_path):
+    from crosspanel.llm.queries import op9_license_scan
+
+    documents(spark, ["the gnu general public terms", "MIT License", "nothing"]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["score"] > 0.3 for r in op9_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()] == [True, True, False]
