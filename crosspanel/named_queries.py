@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import timeseries as ts
 from .operators import clean
-from .plans import named
+from .plans import named, passes
 from .queries import CODE, c, frame_sql, query, rounded
 from .sources.panel import with_industry
 from .universe_queries import sized
@@ -47,7 +47,12 @@ _PV = {f"momentum_{w}": _momentum(w) for w in (3, 10, 20, 60, 120)} | {f"reversa
 def factors_price_volume(spark, folder):
     made = named.price_volume()
     made["illiquidity_20"] = made["illiquidity_20"] * 1e6
-    return rounded(factor_panel(spark, folder).select("code", "date", *[x.alias(n) for n, x in made.items()]))
+    return rounded(passes.library(_as_numbers(factor_panel(spark, folder)), made))
+
+
+def _as_numbers(panel):
+    """Flags, which are never null, as 1 and 0: a pass over a code's rows reads numbers."""
+    return panel.withColumns({n: c(n).cast("double") for n, kind in panel.dtypes if kind == "boolean"})
 
 
 def _ratio(a: str, b: str) -> str:
@@ -66,7 +71,7 @@ _TECH = {f"bias_{w}": f"(close - {_guard('avg(close)', 'close', w, w // 2)}) / n
 
 @query(NAMED_SQL + _picked(_TECH, 7))
 def factors_technical(spark, folder):
-    return rounded(factor_panel(spark, folder).select("code", "date", *[x.alias(n) for n, x in named.technical().items()]), 7)
+    return rounded(passes.library(_as_numbers(factor_panel(spark, folder)), named.technical()), 7)
 
 
 def _count(x: str) -> str:
@@ -96,5 +101,5 @@ def size_style_spread(spark, folder):
 @query(NAMED_SQL + f", f AS (SELECT code, date, {_momentum(20)} AS a, -{_guard('stddev_samp(r)', 'r', 20, 10)} AS b FROM G), q AS (SELECT *, quantile_cont(a, 0.01) OVER d AS al, quantile_cont(a, 0.99) OVER d AS ah, quantile_cont(b, 0.01) OVER d AS bl, quantile_cont(b, 0.99) OVER d AS bh FROM f WINDOW d AS (PARTITION BY date)), w AS (SELECT code, date, CASE WHEN a IS NOT NULL THEN greatest(least(a, ah), al) END AS a, CASE WHEN b IS NOT NULL THEN greatest(least(b, bh), bl) END AS b FROM q), z AS (SELECT code, date, (a - avg(a) OVER (PARTITION BY date)) / CASE WHEN stddev_pop(a) OVER (PARTITION BY date) > 1e-12 THEN stddev_pop(a) OVER (PARTITION BY date) END AS a, (b - avg(b) OVER (PARTITION BY date)) / CASE WHEN stddev_pop(b) OVER (PARTITION BY date) > 1e-12 THEN stddev_pop(b) OVER (PARTITION BY date) END AS b FROM w) SELECT code, date, round(CASE WHEN a IS NOT NULL THEN greatest(least(a, 3), -3) END, 5) AS momentum_20, round(CASE WHEN b IS NOT NULL THEN greatest(least(b, 3), -3) END, 5) AS volatility_20 FROM z")
 def named_normalized(spark, folder):
     raw = named.price_volume()
-    panel = factor_panel(spark, folder).select("code", "date", raw["momentum_20"].alias("momentum_20"), raw["volatility_20"].alias("volatility_20"))
+    panel = passes.library(_as_numbers(factor_panel(spark, folder)), {n: raw[n] for n in ("momentum_20", "volatility_20")})
     return rounded(named.normalized(panel, ["momentum_20", "volatility_20"]), 5)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import crosssection as cs
 from ..functions import timeseries as ts
+from . import expressions as e
+from .expressions import Term
 
 c = F.col
 
@@ -24,7 +26,27 @@ def compounded(ret: Column, w: int) -> Column:
     return F.exp(momentum(ret, w)) - 1
 
 
-def price_volume() -> dict[str, Column]:
+def price_volume() -> dict[str, Term]:
+    """As terms, whose windows a code's rows give in one pass; `price_volume_columns` has the same as Columns."""
+    x, w_of = e.column, e.windowed
+    back = lambda w: w_of("compounded", compounded_least, x("ret"), w=w, least=max(1, w // 2))
+    mean = lambda v, w, least: w_of("mean", ts.ts_mean, v, w=w, least=least)
+    std = lambda v, w, least: w_of("std", ts.ts_std, v, w=w, least=least)
+    null = e.row("null", lambda: F.lit(None).cast("double"))
+    swing = e.where(x("limit_up_open") + x("limit_down_open") > 0, null, (x("high") - x("low")) / x("close"))
+    out = {f"momentum_{w}": back(w) for w in (3, 10, 20, 60, 120)} | {f"reversal_{w}": -back(w) for w in (3, 5, 10, 20)}
+    return out | {
+        "momentum_skip": (1 + back(240)) / (1 + back(20)) - 1,
+        "volatility_20": -std(x("ret"), 20, 10), "volatility_60": -std(x("ret"), 60, 30), "turnover_20": -mean(x("volume"), 20, 20),
+        "illiquidity_20": mean(e.absolute(x("ret")) / x("amount"), 20, 10), "amplitude_20": -mean(swing, 20, 10), "to_high_52": x("close") / w_of("max", ts.ts_max, x("close"), w=52, least=52),
+    }
+
+
+def compounded_least(ret: Column, w: int, least: int) -> Column:
+    return F.exp(ts.guarded(F.sum(F.ln(1 + F.when(ret > -1, ret))), ret, w, least)) - 1
+
+
+def price_volume_columns() -> dict[str, Column]:
     one_word = c("limit_up_open") | c("limit_down_open")
     swing = F.when(~one_word, (c("high") - c("low")) / F.when(c("close") != 0, c("close")))
     cost = F.abs("ret") / F.when(c("amount") != 0, c("amount"))
@@ -36,7 +58,23 @@ def price_volume() -> dict[str, Column]:
     }
 
 
-def technical() -> dict[str, Column]:
+def technical() -> dict[str, Term]:
+    """As terms; `technical_columns` has the same as Columns."""
+    x = e.column
+    mean = lambda v, w, least: e.windowed("mean", ts.ts_mean, v, w=w, least=least)
+    sums = lambda v: e.windowed("sum", ts.ts_sum, v, w=26, least=13)
+    null = e.row("null", lambda: F.lit(None).cast("double"))
+    some = lambda v: e.where(v.same(0), null, v)
+    means = {w: mean(x("close"), w, w // 2) for w in (5, 20)}
+    return {f"bias_{w}": (x("close") - m) / m for w, m in means.items()} | {
+        "psy_12": 100 * mean(e.number(x("ret") > 0), 12, 6),
+        "ar_26": 100 * sums(x("high") - x("open")) / sums(some(x("open") - x("low"))),
+        "br_26": 100 * sums(e.emax(x("high") - x("close_before"), 0)) / sums(some(e.emax(x("close_before") - x("low"), 0))),
+        "turnover_acceleration": mean(x("volume"), 5, 2) / mean(x("volume"), 20, 10),
+    }
+
+
+def technical_columns() -> dict[str, Column]:
     positive = lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
     sums = lambda x: ts.ts_sum(x, 26, 13)
     before = c("close_before")
