@@ -7,17 +7,23 @@ block before it as history, so factors stay within 2^-64 and 2^64 and what is cu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import crosssection as cs
 from ..functions import timeseries as ts
+from ..plans import series
 
 REACH = 64
 #: Rows of the window and of the half-life of market regression, and of momentum with the rows that it skips.
 BETA_WINDOW, BETA_HALFLIFE = 252, 63
 MOMENTUM_WINDOW, MOMENTUM_HALFLIFE, MOMENTUM_SKIP = 240, 60, 20
 LIQUIDITY_WINDOWS = (63, 252)
+STYLES = ("size", "nonlin_size", "beta", "res_vol", "momentum", "liquidity")
 
 
 def decayed_sums(panel: DataFrame, values: dict[str, Column], halflife: float, by: str = ts.BY, order: str = ts.ORDER) -> DataFrame:
@@ -39,31 +45,18 @@ def market_regression(panel: DataFrame, ret: str, market: str, halflife: float =
 
     Only rows with both returns count. Null where fewer than half of the window's rows have both (so that a code that left keeps no old value), or where the market didn't move.
     """
-    both = ts.real(F.col(ret)).isNotNull() & ts.real(F.col(market)).isNotNull()
-    r, m = F.when(both, F.col(ret)), F.when(both, F.col(market))
-    least = max(2, window // 2)
-    rows = panel.withColumn("_enough", F.count(F.when(both, F.lit(1))).over(ts.frame(window)) >= least)
-    rows = decayed_sums(rows, {"_n": F.when(both, 1.0), "_r": r, "_m": m, "_rr": r * r, "_mm": m * m, "_rm": r * m}, halflife)
-    mean = lambda c: F.col(c) / F.when(F.col("_n") > 0, F.col("_n"))
-    spread = lambda squares, c: F.greatest(mean(squares) - mean(c) * mean(c), F.lit(0.0))
-    moments = rows.withColumns({"_vr": spread("_rr", "_r"), "_vm": spread("_mm", "_m"), "_c": mean("_rm") - mean("_r") * mean("_m")})
-    beta = F.when(F.col("_enough") & (F.col("_vm") > 0), ts.real(F.col("_c") / F.when(F.col("_vm") > 0, F.col("_vm"))))
-    out = moments.withColumn("beta", beta)
-    hsigma = F.when(F.col("beta").isNotNull(), F.sqrt(F.greatest(F.col("_vr") - F.col("beta") * F.col("beta") * F.col("_vm"), F.lit(0.0))))
-    return out.withColumn("hsigma", hsigma).drop("_enough", "_n", "_r", "_m", "_rr", "_mm", "_rm", "_vr", "_vm", "_c")
+    rows = panel.withColumns({"_r": ts.real(F.col(ret)), "_m": ts.real(F.col(market))})
+    return series.with_series(rows, _regression("_r", "_m", halflife, window, "hsigma")).drop("_r", "_m")
+
+
+def _regression(ret: str, market: str, halflife: float, window: int, deviation: str) -> dict:
+    return {n: ("decayedregression", (ret, market), (halflife, window, k)) for n, k in (("beta", False), (deviation, True))}
 
 
 def halflife_mean(panel: DataFrame, value: Column, window: int, halflife: float, name: str, least: float = 0.5) -> DataFrame:
     """The panel with the mean of the last `window` rows' values, weights halving every `halflife` rows; null where the known values have less than the share `least` of all the weight."""
-    known = ts.real(value)
-    rows = decayed_sums(panel, {"_s": known, "_k": F.when(known.isNotNull(), 1.0)}, halflife)
-    # What left the window is the sum as it was `window` rows ago, decayed since.
-    over, gone = ts.whole(), 0.5 ** (window / halflife)
-    inside = lambda c: F.col(c) - F.coalesce(F.lag(c, window).over(over), F.lit(0.0)) * gone
-    total = sum(0.5 ** (d / halflife) for d in range(window))
-    weight = inside("_k")
-    mean = F.when(weight >= least * total * (1 - 1e-12), ts.real(inside("_s") / F.when(weight > 0, weight)))
-    return rows.withColumn(name, mean).drop("_s", "_k")
+    rows = panel.withColumn("_x", ts.real(value))
+    return series.with_series(rows, {name: ("halflifemean", ("_x",), (window, halflife, least))}).drop("_x")
 
 
 def log_return(ret: Column) -> Column:
@@ -84,16 +77,33 @@ def with_styles(panel: DataFrame, cap: str = "cap", ret: str = "ret", market: st
     nonlinear part is the square of the standardised size, freed of it (30 codes at least). Momentum is the half-life mean of log returns that ends MOMENTUM_SKIP rows ago.
     Liquidity is the mean of two standardised logs, of the mean turnover over a quarter and over a year; null where one of them is.
     """
-    from .neutralize import nonlinear_size
-
-    panel = panel.withColumn("size", F.when(F.col(cap) > 0, F.ln(cap)))
-    panel = market_regression(panel, ret, market).withColumnRenamed("hsigma", "res_vol")
-    panel = panel.withColumn("_late", F.lag(log_return(F.col(ret)), MOMENTUM_SKIP).over(ts.whole()))
-    panel = halflife_mean(panel, F.col("_late"), MOMENTUM_WINDOW, MOMENTUM_HALFLIFE, "momentum").drop("_late")
-    legs = [f"_t{w}" for w in LIQUIDITY_WINDOWS]
-    traded = F.when(ts.real(F.col(turnover)).isNotNull(), F.col(turnover))
-    panel = panel.withColumns({leg: ts.ts_mean(traded, w, max(2, w // 2)) for leg, w in zip(legs, LIQUIDITY_WINDOWS, strict=True)})
-    panel = normalized(panel.withColumns({leg: F.when(F.col(leg) > 0, F.ln(leg)) for leg in legs}), *legs)
-    panel = panel.withColumn("liquidity", sum((F.col(leg) for leg in legs), F.lit(0.0)) / len(legs)).drop(*legs)
-    panel = normalized(panel, "size", "beta", "res_vol", "momentum", "liquidity")
-    return normalized(nonlinear_size(panel, "size"), "nonlin_size")
+    late = F.lag(log_return(F.col(ret)), MOMENTUM_SKIP).over(ts.whole())
+    rows = panel.withColumns({"_size": F.when(F.col(cap) > 0, F.ln(cap)), "_r": ts.real(F.col(ret)), "_m": ts.real(F.col(market)), "_traded": ts.real(F.col(turnover)), "_late": ts.real(late)})
+    # All that reads one code's rows is made in one pass over them, all that reads one date's in another.
+    of_code = series.with_series(rows, {
+        **_regression("_r", "_m", BETA_HALFLIFE, BETA_WINDOW, "res_vol"), "momentum": ("halflifemean", ("_late",), (MOMENTUM_WINDOW, MOMENTUM_HALFLIFE, 0.5)),
+        **{f"_t{w}": ("mean", ("_traded",), (w, max(2, w // 2))) for w in LIQUIDITY_WINDOWS},
+    }).drop("_r", "_m", "_traded", "_late")
+    kept, inputs = panel.columns, ["_size", "beta", "res_vol", "momentum", *[f"_t{w}" for w in LIQUIDITY_WINDOWS]]
+    schema = StructType([*panel.schema.fields, *[StructField(n, DoubleType()) for n in STYLES]])
+
+    def standardise(day: pa.Table) -> pa.Table:
+        size, beta, res_vol, momentum, *legs = (pc.fill_null(day.column(n), np.nan).to_numpy() for n in inputs)
+        standard = lambda x: series.zscored(series.winsorized(x, 0.01), 3.0)
+        with np.errstate(all="ignore"):
+            liquidity = sum(standard(np.log(np.where(x > 0, x, np.nan))) for x in legs) / len(legs)
+            out = {n: standard(x) for n, x in (("size", size), ("beta", beta), ("res_vol", res_vol), ("momentum", momentum), ("liquidity", liquidity))}
+            out["nonlin_size"] = standard(_free_of(out["size"] ** 2, out["size"]))
+        return pa.table([*(day.column(n) for n in kept), *(pa.array(out[n], from_pandas=True) for n in STYLES)], names=[*kept, *STYLES])
+
+    return of_code.groupBy(ts.ORDER).applyInArrow(standardise, schema)
+
+
+def _free_of(y: np.ndarray, x: np.ndarray, least: int = 30) -> np.ndarray:
+    """Residual of y on x and a constant; null for fewer than `least` values, or where x doesn't vary."""
+    known = np.isfinite(x) & np.isfinite(y)
+    if known.sum() < least or x[known].min() == x[known].max():
+        return np.full(len(x), np.nan)
+    off = x[known] - x[known].mean()
+    slope = off @ y[known] / (off @ off)
+    return y - (y[known].mean() + slope * (x - x[known].mean()))
