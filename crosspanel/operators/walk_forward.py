@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import crosssection as cs
+from ..plans import series
+from ..sources.store import written
 from . import selection
 
 
@@ -84,8 +85,8 @@ def first_pool(score: Column, share: float = 0.2) -> Column:
 
 def standardised_in_pool(rows: DataFrame, names: list[str]) -> DataFrame:
     """Each column clipped at the date's outer hundredths and standardised among the rows given."""
-    rows = rows.withColumns({n: cs.winsorize(F.col(n)) for n in names})
-    return rows.withColumns({n: cs.cs_zscore(F.col(n), None) for n in names})
+    made = series.with_series(rows, {f"_z{i}": ("winsorz", (n,), (0.01, None)) for i, n in enumerate(names)}, "date", "code")
+    return made.select(*[n for n in rows.columns if n not in names], *[F.col(f"_z{i}").alias(n) for i, n in enumerate(names)])
 
 
 def two_stage(panel: DataFrame, first: str, features: list[str], label: str, lookback: int = 24, gap: int = 1, share: float = 0.2, least_rows: int = 200, least_pool: int = 30, penalty: float = 1.0) -> DataFrame:
@@ -94,8 +95,9 @@ def two_stage(panel: DataFrame, first: str, features: list[str], label: str, loo
     Only dates with first scores count. Features and label are standardised within the pool. On dates with a second model codes outside the pool have minus infinity, so that they stay in the ranking;
     dates with a smaller pool than least_pool, or too little to train on, have no rows.
     """
-    scored = panel.where(F.col(first).isNotNull()).withColumn("in_pool", first_pool(F.col(first), share))
-    pool = standardised_in_pool(scored.where("in_pool"), [*features, label])
+    # Both are read several times: they are written, so that the panel and its sections are made once.
+    scored = written(panel.where(F.col(first).isNotNull()).withColumn("in_pool", first_pool(F.col(first), share)), "first_pool")
+    pool = written(standardised_in_pool(scored.where("in_pool"), [*features, label]), "second_pool")
     folds = training_dates(scored.select("date").distinct(), lookback, gap)
     large = pool.groupBy("date").count().where(F.col("count") >= least_pool).select("date")
     second = ridge_scores(pool, features, label, folds.join(large, "date", "left_semi"), penalty, least_rows)
