@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 from .functions import crosssection as cs
 from .functions import timeseries as ts
 from .operators import ic, scoring, selection
+from .plans import series
 from .queries import CODE, SCORE_SQL, c, frame_sql, query, rounded, scored
+from .sources.store import written
 
 _FACTORS = {"reversal": "score", "size": "-amount", "range": "(high - low) / open"}
 
 
-def factor_rows(spark, folder):
+def stored_scores(spark, folder):
+    """What three factors read of the scored panel, written once for queries that read it several times."""
+    return written(scored(spark, folder).select("date", "code", "score", "amount", "high", "low", "open", "fwd"), "factor_panel")
+
+
+def factor_rows(spark, folder, panel=None):
     """Three factors of the panel as rows: date, code, factor, x, fwd."""
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.expr(e).alias("x")) for n, e in _FACTORS.items()])).alias("o")
-    return scored(spark, folder).select("date", "code", "fwd", cells).select("date", "code", "o.factor", "o.x", "fwd")
+    panel = scored(spark, folder) if panel is None else panel
+    return panel.select("date", "code", "fwd", cells).select("date", "code", "o.factor", "o.x", "fwd")
 
 
-def factor_ics(spark, folder):
-    rows = factor_rows(spark, folder).where("x is not null and fwd is not null")
+def factor_ics(spark, folder, panel=None):
+    rows = factor_rows(spark, folder, panel).where("x is not null and fwd is not null")
     return ic.ic_series(rows, "x", "fwd", 5, ("factor", "date"))
 
 
@@ -99,8 +107,11 @@ def multi_horizon(spark, folder):
 J AS (SELECT Z.date, code, icir, greatest(least((x - m) / s, 3.0), -3.0) AS z FROM Z JOIN RS ON RS.factor = Z.factor AND RS.date = Z.date WHERE s > 1e-12 AND x IS NOT NULL AND icir IS NOT NULL)
 SELECT date, code, round(sum(icir * z) / CASE WHEN sum(abs(icir)) > 0 THEN sum(abs(icir)) END, 5) AS score FROM J GROUP BY date, code""")
 def dynamic_score(spark, folder):
-    sections = factor_rows(spark, folder).select("date", "code", "factor", cs.cs_zscore(c("x"), 3.0, "factor", "date").alias("z"))
-    return rounded(scoring.dynamic_score(sections, selection.rolling_stats(factor_ics(spark, folder))), 5)
+    panel = stored_scores(spark, folder)
+    stats = selection.rolling_stats(factor_ics(spark, folder, panel))
+    sections = panel.select("date", "code", *[F.expr(e).cast("double").alias(n) for n, e in _FACTORS.items()])
+    standard = series.with_series(sections, {f"z_{n}": ("z", (n,), (3.0,)) for n in _FACTORS}, "date", "code")
+    return rounded(scoring.dynamic_score_wide(standard, {n: f"z_{n}" for n in _FACTORS}, stats), 5)
 
 
 @query(SCORE_SQL + """, K AS (SELECT date, code, score, score - min(score) OVER (PARTITION BY date) + 1e-8 AS lifted, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY date) AS n, exp((score - max(score) OVER (PARTITION BY date)) / 0.5) AS e FROM S WHERE score IS NOT NULL)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import timeseries as ts
-from .model_queries import ROWS_SQL, factor_ics, factor_rows
+from .model_queries import ROWS_SQL, factor_ics, factor_rows, stored_scores
 from .operators import backtest, ic, signals
 from .queries import CODE, SCORE_SQL, c, query, rounded, scored
+from .sources.store import written
 from .sources.panel import weekly_panel
 
 # Hold periods: signals on each month's last date, the ten best scores, orders filled on the next date.
@@ -137,9 +138,11 @@ def nw_default_lags(spark, folder):
 DIR_SQL = IC_SQL + ", dm AS (SELECT factor, avg(ic) AS m FROM K GROUP BY factor), tg AS (SELECT FR.factor, FR.date, fwd, coalesce(FR.x * (CASE WHEN abs(m) < 1e-12 THEN 1 ELSE sign(m) END) > 0, false) AS hit FROM FR JOIN dm ON dm.factor = FR.factor WHERE fwd IS NOT NULL), tdy AS (SELECT factor, date, count(*) AS n, count(*) FILTER (hit) AS k, avg(fwd) FILTER (hit) - avg(fwd) AS edge FROM tg GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) FILTER (hit) >= 3), TP AS (SELECT factor, avg(CASE WHEN edge > 1e-15 THEN 1.0 ELSE 0 END) AS payoff_hit, avg(edge) AS payoff_edge, count(*) AS n_days FROM tdy GROUP BY factor)"
 
 
-def triggers(spark, folder):
-    means = factor_ics(spark, folder).groupBy("factor").agg(F.avg("ic").alias("direction"))  # one row for each factor
-    return signals.trigger_summary(factor_rows(spark, folder).join(F.broadcast(means), "factor"), "x", "fwd", c("direction"), 3)
+def triggers(spark, folder, panel=None, series=None):
+    panel = stored_scores(spark, folder) if panel is None else panel
+    series = factor_ics(spark, folder, panel) if series is None else series
+    means = series.groupBy("factor").agg(F.avg("ic").alias("direction"))  # one row for each factor
+    return signals.trigger_summary(factor_rows(spark, folder, panel).join(F.broadcast(means), "factor"), "x", "fwd", c("direction"), 3)
 
 
 @query(DIR_SQL + " SELECT factor, round(payoff_hit, 6) AS payoff_hit, round(payoff_edge, 6) AS payoff_edge, n_days FROM TP")
@@ -170,10 +173,12 @@ SELECT st.factor, coalesce(abs(m) >= 0.015 AND abs(icir) >= 0.3 AND sig, false)
 FROM st LEFT JOIN ps ON ps.factor = st.factor LEFT JOIN TP ON TP.factor = st.factor LEFT JOIN RT ON RT.factor = st.factor LEFT JOIN TD ON TD.factor = st.factor""")
 def factor_tracks(spark, folder):
     """Which factors pass the dense, the sparse and the emerging gate; one row for each factor."""
-    series = factor_ics(spark, folder)
+    panel = stored_scores(spark, folder)
+    # A row for each factor and date, which five statistics read.
+    series = written(factor_ics(spark, folder, panel), "coefficients")
     stats = ic.ic_stats(series, "factor").select("factor", "ic_mean", "icir", "win_rate")
     found = ic.benjamini_hochberg(signals.newey_west_default(series), "nw_t").select("factor", "significant")
-    joined = stats.join(found, "factor", "left").join(triggers(spark, folder), "factor", "left").join(signals.retention(series, 26), "factor", "left").join(signals.segment_trend(series, 20), "factor", "left")
+    joined = stats.join(found, "factor", "left").join(triggers(spark, folder, panel, series), "factor", "left").join(signals.retention(series, 26), "factor", "left").join(signals.segment_trend(series, 20), "factor", "left")
     return joined.select(
         "factor", signals.dense_gate(c("ic_mean"), c("icir"), c("significant")).alias("dense"), signals.sparse_gate(c("ic_mean"), c("icir"), c("win_rate"), c("payoff_hit")).alias("sparse"),
         signals.emerging(c("ic_mean"), c("icir"), c("icir_recent"), c("retention"), c("significant"), c("rising")).alias("emerging"),

@@ -26,3 +26,13 @@ def test_section_functions():
     z = series.zscored(x)
     assert np.isnan(z[1]) and abs(np.nanmean(z)) < 1e-12 and abs(np.nanstd(z) - 1) < 1e-12
     assert np.isnan(series.zscored(np.full(3, 0.1))).all() and np.isnan(series.winsorized(np.full(2, np.nan), 0.1)).all()
+
+
+def _reads(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("l_suppkey")
+
+
+def test_panels_are_made_once(spark):
+    # What is left of each plan reads stored tables; lines were read again for every statistic.
+    for name in ("dynamic_score", "factor_tracks", "trigger_payoff_summary", "two_stage_scores"):
+        assert _reads(catalogue.QUERIES[name](spark, DATA)) == 0, name
