@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from crosspanel.plans import expressions as e
-from crosspanel.plans import factors
+from crosspanel.plans import factors, series
 
 DAY = datetime.date(2020, 1, 1)
 
@@ -68,3 +68,32 @@ def test_samples_of_published_families(panel, library):
     known = getattr(factors, library)()
     names = sorted(known)[:: max(1, len(known) // 14)]
     compare(panel, {n: known[n] for n in names}, swaps=4)
+
+
+def test_windows_of_several_series_at_once():
+    # Each array was one series' before, so a task made every window of every code on its own.
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(2, 3, 40))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    for name, kernel in series.KERNELS.items():
+        pair = name in ("corr", "cov", "slope", "rsquare", "resi")
+        numbers = {"quantile": (7, 0.3), "sma": (5, 2), "delay": (3,)}.get(name, (7,))
+        both = kernel(x, y, *numbers) if pair else kernel(x, *numbers)
+        for k in range(3):
+            one = kernel(x[k], y[k], *numbers) if pair else kernel(x[k], *numbers)
+            assert np.array_equal(both[k], one, equal_nan=True), name
+
+
+def test_equal_values_have_equal_sums_wherever_gaps_stand():
+    x = np.round(np.random.default_rng(2).random(30) * 100, 2) + 0.1
+    a, b = np.full(60, np.nan), np.full(60, np.nan)
+    a[1:60:2], b[np.sort(np.random.default_rng(3).permutation(60)[:30])] = x, x
+    assert series.total(a, 60, 1)[-1] == series.total(b, 60, 1)[-1]
+
+
+def test_rounding_is_sparks(spark):
+    from pyspark.sql import functions as F
+
+    x = np.concatenate([np.random.default_rng(5).normal(0, 10.0 ** np.arange(-7, 13)[:, None], (20, 200)).ravel(), np.arange(-50, 50) / 128 / 16, [0.5e-6, -0.5e-6, 1.0000005, -0.0, 1e18]])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert series.half_up(x, 6).tolist() == want
